@@ -8,21 +8,29 @@ split, so that a node with very many links does not have to fit in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
+#: Edges for each partition; a table of fewer edges is one partition, and its steps need no exchange.
+PARTITION_EDGES = 100_000
+
+
+def _both(a: str, b: str, c: str, d: str) -> list[Column]:
+    """Two edges (a, b) and (c, d) from one row; unlike a union, this keeps a single partition single."""
+    return [F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(c).alias("u"), F.col(d).alias("v")))).alias("e")]
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v). Links each neighbour of u (large: greater ones; small: u and lesser ones) to the least node around u."""
     if large:
-        around = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        around = edges.select(*_both("u", "v", "v", "u")).select("e.*")
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     linked = around.join(least, "u")
-    moved = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+    moved = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else linked.select(*_both("v", "m", "u", "m")).select("e.*")
     return moved.where("u <> v").distinct()
 
 
@@ -34,7 +42,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     seen, k = None, 0
     while True:
+        now = now.coalesce(1) if seen and seen[0] <= PARTITION_EDGES else now
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = now.coalesce(1) if sums[0] <= PARTITION_EDGES else now
         if sums == seen or not sums[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen, k = sums, k + 1

@@ -9,9 +9,10 @@ six standard errors below the threshold are discarded. What is left is confirmed
 
 Links inside a large bucket are not listed pair by pair. Each member is first compared with a few
 leaders of its bucket. When the confirmed links have been joined into components, members outside
-their bucket's main component are compared with every member of another component: whatever is
-not compared is already connected, so components come out as if all candidate pairs had been
-confirmed. Buckets, pairs and components stay in Spark tables; nothing is capped or collected.
+their bucket's main component are compared with every member of another component with which they
+share a shingle that is rare enough: whatever is not compared is already connected or cannot be
+linked, so components come out as if all candidate pairs had been confirmed. Buckets, pairs and
+components stay in Spark tables; nothing is capped or collected.
 
 Null text and text without words give an empty set, linked with nothing. doc_id identifies a
 document: repeated rows of one doc_id are the same document and share its verdict. A null doc_id
@@ -157,11 +158,11 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc, F.xxhash64(text)).alias("at"), doc.alias("doc_id"), text.alias("text"))
 
 
-def estimate(x: str, y: str) -> Column:
+def estimate(x: Column, y: Column) -> Column:
     """Collision-corrected similarity of two packed signatures."""
     off = F.lit(0)
     for k in range(LONGS):
-        z = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        z = x[k].bitwiseXOR(y[k])
         off = off + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(_LOW)))
     return 1 - off / SLOTS / (1 - 2.0**-BITS)
 
@@ -170,63 +171,56 @@ def link_classes(spark: SparkSession, prepared: DataFrame, signed: DataFrame, sh
     """(cid, root) for every class linked with another."""
     lowest = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / SLOTS + 0.25 * 0.75 / SLOTS) / (1 - 2.0**-BITS)
     classes = scratch.write(signed.where("cid is not null").groupBy("cid").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "classes")
-    rows = classes.select("cid", "n", F.explode("keys").alias("key"))
+    rows = classes.select("cid", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    multi = scratch.write(rows.join(shared, "key"), "buckets")
+    # Only entries of shared buckets get their class's signature.
+    entries = rows.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid")
+    multi = scratch.write(entries.select("key", "size", F.struct("cid", "n", "bits").alias("p")), "buckets")
     small, large = multi.where(F.col("size") <= SMALL_BUCKET), multi.where(F.col("size") > SMALL_BUCKET)
-    member = F.struct("cid", "n")
-
-    def pairs(joined: DataFrame) -> DataFrame:
-        """joined: cid, n, other (cid, n). Distinct pairs whose sizes allow the similarity."""
-        a, b = F.col("cid"), F.col("other.cid")
-        fits = 100 * F.least("n", "other.n") >= percent * F.greatest("n", "other.n")
-        return joined.where((a != b) & fits).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-    def led(salts: range) -> DataFrame:
-        heads = large.groupBy("key").agg(F.array(*[F.min_by(member, F.xxhash64("cid", F.lit(s))) for s in salts]).alias("heads"))
-        return large.join(heads, "key").select("cid", "n", F.explode("heads").alias("other"))
-
-    def likely(found: DataFrame) -> DataFrame:
-        """Pairs that the packed signatures don't rule out, with their sizes."""
-        one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
-        two = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
-        return found.join(one, "a").join(two, "b").where(estimate("x", "y") >= lowest).select("a", "b", "na", "nb")
-
-    listed = small.groupBy("key").agg(F.collect_list(member).alias("heads")).join(small, "key").select("cid", "n", F.explode("heads").alias("other"))
-    first = scratch.write(likely(pairs(listed.unionAll(led(range(LEADERS))))), "likely-0")
-    wanted = first.select(F.explode(F.array("a", "b")).alias("cid")).unionAll(large.select("cid")).distinct()
+
+    def likely(p: str, q: str) -> Column:
+        """Sizes and packed signatures allow the similarity."""
+        p, q = F.col(p), F.col(q)
+        return (p["cid"] != q["cid"]) & (100 * F.least(p["n"], q["n"]) >= percent * F.greatest(p["n"], q["n"])) & (estimate(p["bits"], q["bits"]) >= lowest)
+
+    def pairs(met: DataFrame) -> DataFrame:
+        """met: p, q. The distinct pairs with their sizes."""
+        a, b = F.struct("p.cid", "p.n"), F.struct("q.cid", "q.n")
+        low, high = F.least(a, b), F.greatest(a, b)
+        return met.select(low["cid"].alias("a"), high["cid"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")).distinct()
+
+    def led(members: DataFrame, leaders: DataFrame, salts: range) -> DataFrame:
+        """Each member with the leaders of its bucket: those with the least salted hash."""
+        heads = leaders.groupBy("key").agg(F.array(*[F.min_by("p", F.xxhash64("p.cid", F.lit(s))) for s in salts]).alias("heads"))
+        return members.join(heads, "key").select("p", F.explode("heads").alias("q")).where(likely("p", "q"))
+
+    listed = small.groupBy("key").agg(F.collect_list("p").alias("heads")).join(small, "key").select("p", F.explode("heads").alias("q")).where(likely("p", "q"))
+    first = scratch.write(pairs(listed.unionAll(led(large, large, range(LEADERS)))), "likely-0")
+    wanted = first.select(F.explode(F.array("a", "b")).alias("cid")).unionAll(large.select("p.cid")).distinct()
     found = classes.select("cid", "at").join(wanted, "cid")
     texts = prepared.join(found.select("at").distinct(), "at", "left_semi").select("text")
     sets = scratch.write(texts.mapInArrow(_setter(shingle), "cid binary, items array<long>").join(found.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
-        one, two = sets.select(F.col("cid").alias("a"), F.col("items").alias("p")), sets.select(F.col("cid").alias("b"), F.col("items").alias("q"))
-        both = F.size(F.array_intersect("p", "q"))
+        one, two = sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
         return some.join(one, "a").join(two, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
     links = scratch.write(confirmed(first), "links-0")
     roots = scratch.write(components(links, scratch, "cc0"), "roots-0")
     k = 0
     while True:
-        named = scratch.write(large.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), f"named-{k}")
+        named = large.join(roots.select(F.col("node").alias("cid_"), "root"), F.col("p.cid") == F.col("cid_"), "left").select("key", "p", F.coalesce("root", "p.cid").alias("root"))
+        named = scratch.write(named, f"named-{k}")
         heads = named.groupBy("key", "root").agg(F.count("*").alias("in_root")).groupBy("key").agg(F.max_by("root", F.struct("in_root", "root")).alias("main"), F.max("in_root").alias("most"), F.sum("in_root").alias("size"))
-        open_ = heads.where("most < size").cache()
-        left, rows_left = open_.agg(F.sum((F.col("size") - F.col("most")) * F.col("size")), F.sum("size")).first()
-        if not left:
-            open_.unpersist()
+        rest = scratch.write(named.join(heads.where("most < size"), "key"), f"rest-{k}")
+        apart, within = rest.agg(F.count(F.when(F.col("root") != F.col("main"), 1)), F.count(F.when(F.col("root") == F.col("main"), 1))).first()
+        if not apart:
             break
-        rest = named.drop("size").join(open_.select("key", "main"), "key")
-        last = left <= 40 * rows_left or k >= 4
-        if last:  # every member outside its bucket's main component against all of other components
-            apart = rest.where("root <> main")
-            other = rest.select("key", F.col("root").alias("other_root"), F.struct("cid", "n").alias("other"))
-            met = apart.join(other, "key").where("root <> other_root").select("cid", "n", "other")
-        else:  # too many: first against further leaders
-            salts = range(LEADERS * (k + 1), LEADERS * (k + 2))
-            more = rest.where("root = main").groupBy("key").agg(F.array(*[F.min_by(member, F.xxhash64("cid", F.lit(s))) for s in salts]).alias("heads"))
-            met = rest.where("root <> main").join(more, "key").select("cid", "n", F.explode("heads").alias("other"))
-        new = scratch.write(confirmed(likely(pairs(met))), f"links-{k + 1}")
-        open_.unpersist()
+        # Further leaders are worth a round while most members of crowds are still apart.
+        last = k >= 3 or apart <= within
+        some = _apart_pairs(rest, sets, percent) if last else pairs(led(rest.where("root <> main"), rest.where("root = main"), range(LEADERS * (k + 1), LEADERS * (k + 2))))
+        new = scratch.write(confirmed(some), f"links-{k + 1}")
         links = links.unionAll(new)
         k += 1
         roots = scratch.write(components(links, scratch, f"cc{k}"), f"roots-{k}")
@@ -235,6 +229,29 @@ def link_classes(spark: SparkSession, prepared: DataFrame, signed: DataFrame, sh
     return roots.select(F.col("node").alias("cid"), "root")
 
 
+def _apart_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb: every pair of two components, one outside its bucket's main one, that the sets allow.
+
+    With the items of all sets in one order, rarest first, the first item that two sets share stands
+    at some place of each; what follows there bounds the intersection. Pairs are found by that item,
+    so a text that was edited in many places meets only texts with the same rare edits, not the crowd.
+    """
+    mine = rest.groupBy(F.col("p.cid").alias("cid")).agg(F.max("p.n").alias("n"), F.max("root").alias("root"), F.max((F.col("root") != F.col("main")).cast("int")).alias("outside"))
+    items = sets.join(mine.select("cid"), "cid").select("cid", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
+    ordered = items.join(often, "item", "left").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "item"))).alias("items"))
+    # At place i, counted from 0, at most n - i items can be shared: enough only up to n - percent/100 * n.
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    places = mine.join(ordered, "cid").select("cid", "n", "root", "outside", F.posexplode(F.slice("items", F.lit(1), F.col("n").cast("int") - least + 1)).alias("i", "x"))
+    places = places.where("x.often > 1").select("cid", "n", "root", "outside", "i", F.col("x.item").alias("item"))
+    one = places.where("outside = 1").select("item", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "root", "i")])
+    two = places.select("item", *[F.col(c).alias(f"q_{c}") for c in ("cid", "n", "root", "i")])
+    most = F.least(F.col("p_n") - F.col("p_i"), F.col("q_n") - F.col("q_i"))
+    met = one.join(two, "item").where((F.col("p_root") != F.col("q_root")) & ((100 + percent) * most >= percent * (F.col("p_n") + F.col("q_n"))))
+    x, y = F.struct(F.col("p_cid").alias("cid"), F.col("p_n").alias("n")), F.struct(F.col("q_cid").alias("cid"), F.col("q_n").alias("n"))
+    return met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct().select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; documents are linked if 100 * intersection >= percent * union."""
     spark = docs.sparkSession
