@@ -271,10 +271,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the least doc_id of their component, columns as they were.
 
-    Rows without a doc_id stay. Repeated rows of one doc_id are brought to one row if they are equal throughout.
+    Rows without a doc_id stay, and repeated rows of one doc_id, being one document, stay or go together.
     """
     gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti").dropDuplicates()
+    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
