@@ -140,7 +140,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     suffixes = named.select("key", "text").mapInArrow(_suffixes, "head long, key long, pos int")
     suffixes = scratch.write(suffixes, "suffixes")
     place = F.struct("key", "pos")
-    twice = suffixes.groupBy("head").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("head")
+    # Written, so that the join has an exchange on either side, of which adaptive execution can split a crowded head.
+    twice = scratch.write(suffixes.groupBy("head").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("head"), "heads")
     positions = suffixes.join(twice, "head").groupBy("key").agg(F.collect_set("pos").alias("positions"))
     texts = named.groupBy("key", "more").agg(F.min("doc_id").alias("rep"), (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("copies"))
     wanted = texts.join(positions, "key", "left").where("positions is not null or copies > 1")
@@ -150,7 +151,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     scratch.drop("suffixes")
     counted = windows.where("start = -1").select("key", "more", "n_words").distinct()
     found = windows.where("start >= 0").withColumn("place", F.struct(_order(F.col("rep")).alias("rep"), "key", "start"))
-    first = found.groupBy("name").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("name", "first")
+    first = scratch.write(found.groupBy("name").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("name", "first"), "first")
     hits = found.join(first, "name").groupBy("key", "more").agg(
         merged_spans(F.collect_list("start")).alias("repeats"),
         merged_spans(F.collect_list(F.when(F.col("place") != F.col("first"), F.col("start")))).alias("cuts"),
