@@ -1,10 +1,12 @@
-"""Token ids of whole texts by a tokenizer file, encoded word by word.
-
-For a tokenizer that drops white space, the ids of a text are the ids of its words, one after
-another. Words repeat, so each worker encodes a word once and keeps its ids in a table of bounded
-size; texts are then assembled from that table with array operations. ``Encoder`` proves the
-property on a probe text when it opens a file and otherwise encodes whole texts. Strings of
-special tokens inside a text are ordinary text.
+"""Token ids of whole texts by a tokenizer file, encoded unit by unit.
+
+For a tokenizer that drops white space, folds case and separates letters, digits and signs, the ids
+of a text are the ids of its units, one after another. A unit is a run of Latin letters, of digits
+or of ASCII signs inside a word; a word with an apostrophe or with any other character is one unit.
+Units repeat, so each worker encodes a unit once and keeps its ids in a table of bounded size;
+texts are then assembled from that table with array operations. ``Encoder`` proves the property on
+a probe text when it opens a file and otherwise encodes whole texts. Strings of special tokens
+inside a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -13,9 +15,16 @@ import os
 
 import numpy as np
 
-from .words import U, per_text, split_words
+from .words import LOWER, SPACE, U, Words, per_text, split_words
+
+#: Of each byte: 0 white space, 1 letter, 2 digit, 3 sign, 4 apostrophe or part of another character.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[SPACE] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 3
 
-_PROBE = "One\ttwo  THREE\n\n4.5 déjà-vu, it's\r\nnon break (x) end. Á\x0bΣΣ ́z"
+_PROBE = "Un,deux...Trois(4x56)É!ça-va ×÷, x÷y One\ttwo  THREE\n\n4.5 déjà-vu, it's\r\nnon break (x) end. Á\x0bΣΣ ́z"
 _open: dict[str, "Encoder"] = {}
 
 
@@ -32,8 +41,28 @@ def encoder(path: str) -> "Encoder":
     return _open[path]
 
 
+def split_units(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    """The units of several texts; buf has ASCII letters in lower case."""
+    words = split_words(buf, offsets)
+    kind = _CLASS[buf]
+    # Two-byte letters: U+00C0 to U+017F but for the signs of multiplication and division.
+    lead = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC5))
+    lead = lead[~((buf[lead] == 0xC3) & ((buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)))]
+    kind[lead] = kind[lead + 1] = 1
+    odd = np.concatenate([[0], np.cumsum(kind == 4)])
+    plain = odd[words.end] == odd[words.start]
+    change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    word = np.searchsorted(words.start, change, side="right") - 1
+    inside = (change > words.start[word]) & (change < words.end[word]) & plain[word] if len(words.start) else np.zeros(0, bool)
+    change, word = change[inside], word[inside]
+    start = np.sort(np.concatenate([words.start, change]))
+    end = np.sort(np.concatenate([words.end, change]))
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    return Words(buf, offsets, start, end, doc, np.searchsorted(doc, np.arange(len(offsets))))
+
+
 class Encoder:
-    KEEP = 400_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,8 +70,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.by_word = self._plain(_PROBE) == [i for w in _PROBE.encode().split() for i in self._plain(w.decode())]
         self._forget()
+        self.by_word = True
+        raw = np.frombuffer(_PROBE.encode(), np.uint8)
+        self.by_word = self._plain(_PROBE) == self.ids(raw, np.array([0, len(raw)], np.int64))[0].tolist()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -52,7 +83,7 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for i in ids for x in i), np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
@@ -68,7 +99,8 @@ class Encoder:
 
     def _known(self, buf: np.ndarray, offsets: np.ndarray):
         """Where each word's ids lie in the pool, how many there are, and the words."""
-        words = split_words(buf, offsets)
+        buf = LOWER[buf]
+        words = split_units(buf, offsets)
         keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.keys) > self.KEEP:
             self._forget()
