@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import langid, lengths, licenses, media, mixing, neardup, packing, quality, sharding, suffix
 
-#: name, query, DuckDB SQL; None where SQL has no tokenizer, no classifier, no image operators or no CRC.
+#: name, query, DuckDB SQL; None where SQL has no tokenizer, no classifier, or no image operators.
 _TABLE = [
     ("op1_token_counts", lengths.op1_token_counts, None),
     ("op2_license_scan", licenses.op2_license_scan, licenses.ORACLE),
@@ -19,7 +19,7 @@ _TABLE = [
     ("op7_packing", packing.op7_packing, None),
     ("op8_minhash_neardup", neardup.op8_minhash_neardup, neardup.ORACLE),
     ("op9_suffix_dedup", suffix.op9_suffix_dedup, suffix.ORACLE),
-    ("op10_sharding", sharding.op10_sharding, None),
+    ("op10_sharding", sharding.op10_sharding, sharding.ORACLE),
 ]
 
 

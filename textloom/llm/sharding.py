@@ -70,3 +70,17 @@ def shard_documents(docs: DataFrame, weights: list[float], grown: float = 1.0) -
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1.0] * SHARDS)
+
+
+#: Equal weights, for which the greatest score is that of the greatest u. The CRC is taken byte by byte from its table.
+ORACLE = rf"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+b AS (SELECT r, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+c AS (SELECT r, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM b CROSS JOIN t),
+u AS (SELECT r, k, CAST('0x' || substr(md5(key || ':' || k), 1, 12) AS BIGINT) AS u FROM d CROSS JOIN range(0, {SHARDS + 1}) s(k)),
+s AS (SELECT r, arg_max(k, u) FILTER (k < {SHARDS}) AS shard, arg_max(k, u) AS grown FROM u GROUP BY r)
+SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(key), crc, strlen(text)) - 1 AS BIGINT) AS slot, CAST(grown AS INT) AS grown_shard
+FROM d JOIN c USING (r) JOIN s USING (r)
+"""
