@@ -1,11 +1,7 @@
 import random
 
 import pytest
-
-
-def vocabulary(seed, n=800):
-    r = random.Random(seed)
-    return ["".join(r.choices("abcdefghiklmnoprstuvwé", k=r.randint(2, 8))) for _ in range(n)]
+from brute import vocabulary
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import kept_by_rules, measures, mixed, near_components, pieces, repeats, without_repeats, words
+from brute import kept_by_rules, measures, mixed, near_components, pieces, repeats, vocabulary, without_repeats, words
 from pyspark.sql import functions as F
 
 from textloom.llm import langid, lengths, licenses, media, mixing, neardup, packing, quality, sharding, suffix, tokens
@@ -231,8 +231,6 @@ def test_licenses(spark):
 
 
 def test_language_id(spark):
-    from conftest import vocabulary
-
     r = np.random.default_rng(3)
     vocab = {lang: vocabulary(k, 300) for k, lang in enumerate(["aa", "bb", "cc", "dd", "ee", "ff"])}
     text = lambda lang, n: " ".join(r.choice(vocab[lang], n))
