@@ -162,6 +162,27 @@ def test_index_views(spark, letters):
     assert index.build_index(docs, STOP).scalars.first().total_terms == sum(t.count("a") for _, t in letters[0])
 
 
+def test_saved_index(spark, letters, tmp_path):
+    built = index.build_index(letters[1])
+    index.save_index(built, str(tmp_path / "index"), parts=8)
+    loaded = index.load_index(spark, str(tmp_path / "index"), parts=8)
+    for scheme in weights.SCHEMES:
+        assert rank.search(loaded, "b c", scheme).collect() == rank.search(built, "b c", scheme).collect()
+    assert sorted(map(tuple, loaded.postings.select("term", "doc_id", "tf").collect())) == sorted(map(tuple, built.postings.select("term", "doc_id", "tf").collect()))
+    plan = loaded.postings_for(["b"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [(part" in plan or "PartitionFilters: [part" in plan
+
+
+def test_plans(spark, letters, tmp_path):
+    letters[1].write.parquet(str(tmp_path / "documents.parquet"))
+    built = index.build_index(collection.documents(spark, str(tmp_path)))
+    plan = rank.search(built, "a b", "ltn")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Python" not in plan
+    # Terms are filtered before they are counted.
+    plan = built.postings_for(["a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter") < plan.index("Generate")
+
+
 def test_runs(spark, letters, tmp_path):
     _, docs = letters
     queries = collection.query_set(spark, {2: "a b", 1: "c"})

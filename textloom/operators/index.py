@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Analyzer
@@ -56,6 +56,16 @@ class Index:
     postings: DataFrame
     config: Analyzer
     kept: list[DataFrame] = field(default_factory=list)
+    parts: int | None = None
+
+    def postings_for(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms; of a saved index only the folders that can hold them are read."""
+        rows = self.postings
+        if self.parts:
+            spark = rows.sparkSession
+            found = spark.createDataFrame([(t,) for t in terms], "term string").select(_part(self.parts)).distinct().collect()
+            rows = rows.where(F.col("part").isin([r.part for r in found]))
+        return rows.where(F.col("term").isin(terms))
 
     @property
     def terms(self) -> DataFrame:
@@ -91,6 +101,26 @@ def build_index(docs: DataFrame, config: Analyzer = Analyzer()) -> Index:
     return Index(document_lengths(docs, config), term_frequencies(docs, config), config)
 
 
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+
+
+def save_index(index: Index, path: str, parts: int = 256) -> None:
+    """Writes docs and postings as Parquet, the postings in folders by the hash of their term.
+
+    Rebalancing sends a part's postings to as many files as its size asks for, so that a term that is
+    in every document takes no single task.
+    """
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    rows = index.postings.select("term", "doc_id", "tf", _part(parts))
+    rows.hint("rebalance", "part").sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+
+
+def load_index(spark: SparkSession, path: str, config: Analyzer = Analyzer(), parts: int = 256) -> Index:
+    """A saved index; config and parts are those that it was saved with."""
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), config, parts=parts)
+
+
 def add_documents(index: Index, docs: DataFrame) -> Index:
     """The index with further documents, whose ids are new."""
     more = build_index(docs, index.config)
@@ -126,8 +156,6 @@ def dump(index: Index, with_tf: bool = False) -> DataFrame:
     """line_no within term, line: the printed form of the index, a heading for each term and a line for each posting."""
     df = index.terms
     heads = df.select("term", F.lit(0).cast("long").alias("line_no"), F.concat(F.col("df").cast("string"), F.lit("=df("), F.col("term"), F.lit(")")).alias("line"))
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")).cast("long")
     body = F.format_string("    %s %s", F.col("tf"), F.col("doc_id")) if with_tf else F.format_string("    %s", F.col("doc_id"))
     return heads.unionAll(index.postings.select("term", nth.alias("line_no"), body.alias("line")))

@@ -49,7 +49,7 @@ def weights(index: Index, scheme: str, terms: list[str] | DataFrame | None = Non
         scheme = "ltn"
     postings = index.postings
     if isinstance(terms, list):
-        postings = postings.where(F.col("term").isin(terms))
+        postings = index.postings_for(terms)
     elif terms is not None:
         postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
     rows = with_statistics(postings, index)
