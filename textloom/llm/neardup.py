@@ -172,7 +172,8 @@ def link_classes(spark: SparkSession, prepared: DataFrame, signed: DataFrame, sh
     lowest = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / SLOTS + 0.25 * 0.75 / SLOTS) / (1 - 2.0**-BITS)
     classes = scratch.write(signed.where("cid is not null").groupBy("cid").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "classes")
     rows = classes.select("cid", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # Aggregates that are joined back are written first: the join then has an exchange on either side, and a crowded key can be split.
+    shared = scratch.write(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     # Only entries of shared buckets get their class's signature.
     entries = rows.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid")
     multi = scratch.write(entries.select("key", "size", F.struct("cid", "n", "bits").alias("p")), "buckets")
@@ -192,6 +193,7 @@ def link_classes(spark: SparkSession, prepared: DataFrame, signed: DataFrame, sh
     def led(members: DataFrame, leaders: DataFrame, salts: range) -> DataFrame:
         """Each member with the leaders of its bucket: those with the least salted hash."""
         heads = leaders.groupBy("key").agg(F.array(*[F.min_by("p", F.xxhash64("p.cid", F.lit(s))) for s in salts]).alias("heads"))
+        heads = scratch.write(heads, f"heads-{salts.start}")
         return members.join(heads, "key").select("p", F.explode("heads").alias("q")).where(likely("p", "q"))
 
     listed = small.groupBy("key").agg(F.collect_list("p").alias("heads")).join(small, "key").select("p", F.explode("heads").alias("q")).where(likely("p", "q"))
@@ -213,13 +215,13 @@ def link_classes(spark: SparkSession, prepared: DataFrame, signed: DataFrame, sh
         named = large.join(roots.select(F.col("node").alias("cid_"), "root"), F.col("p.cid") == F.col("cid_"), "left").select("key", "p", F.coalesce("root", "p.cid").alias("root"))
         named = scratch.write(named, f"named-{k}")
         heads = named.groupBy("key", "root").agg(F.count("*").alias("in_root")).groupBy("key").agg(F.max_by("root", F.struct("in_root", "root")).alias("main"), F.max("in_root").alias("most"), F.sum("in_root").alias("size"))
-        rest = scratch.write(named.join(heads.where("most < size"), "key"), f"rest-{k}")
+        rest = scratch.write(named.join(scratch.write(heads.where("most < size"), f"open-{k}"), "key"), f"rest-{k}")
         apart, within = rest.agg(F.count(F.when(F.col("root") != F.col("main"), 1)), F.count(F.when(F.col("root") == F.col("main"), 1))).first()
         if not apart:
             break
         # Further leaders are worth a round while most members of crowds are still apart.
         last = k >= 3 or apart <= within
-        some = _apart_pairs(rest, sets, percent) if last else pairs(led(rest.where("root <> main"), rest.where("root = main"), range(LEADERS * (k + 1), LEADERS * (k + 2))))
+        some = _apart_pairs(rest, sets, percent, scratch) if last else pairs(led(rest.where("root <> main"), rest.where("root = main"), range(LEADERS * (k + 1), LEADERS * (k + 2))))
         new = scratch.write(confirmed(some), f"links-{k + 1}")
         links = links.unionAll(new)
         k += 1
@@ -229,7 +231,7 @@ def link_classes(spark: SparkSession, prepared: DataFrame, signed: DataFrame, sh
     return roots.select(F.col("node").alias("cid"), "root")
 
 
-def _apart_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _apart_pairs(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b, na, nb: every pair of two components, one outside its bucket's main one, that the sets allow.
 
     With the items of all sets in one order, rarest first, the first item that two sets share stands
@@ -238,7 +240,7 @@ def _apart_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     mine = rest.groupBy(F.col("p.cid").alias("cid")).agg(F.max("p.n").alias("n"), F.max("root").alias("root"), F.max((F.col("root") != F.col("main")).cast("int")).alias("outside"))
     items = sets.join(mine.select("cid"), "cid").select("cid", F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
+    often = scratch.write(items.groupBy("item").agg(F.count("*").alias("often")).where("often > 1"), "often")
     ordered = items.join(often, "item", "left").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "item"))).alias("items"))
     # At place i, counted from 0, at most n - i items can be shared: enough only up to n - percent/100 * n.
     least = F.ceil(F.col("n") * percent / 100).cast("int")
