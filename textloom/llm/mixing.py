@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 from .shared import Scratch, whole_text
 from .words import split_words
 
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 #: Up to so many leaves the plan, one row of about 100 bytes each, is broadcast.
 BROADCAST_LEAVES = 50_000
 LEVELS = ("domain", "lang", "source")
