@@ -7,6 +7,7 @@ taken never shows; equal scores follow doc_id.
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..config import BM25, Analyzer
 from ..functions.stem import stem
 from ..functions.text import alpha_tokens
 from .index import Index, _stops, build_index
-from .weights import SCHEMES, document_norms, rsv, term_weight, weights
+from .weights import SCHEMES, rsv, term_weight, weights, weights_by_scheme
 
 DIGITS = 6
 
@@ -44,13 +45,6 @@ def query_table(queries: DataFrame, config: Analyzer) -> DataFrame:
     return rows.distinct()
 
 
-def scored(index: Index, queries: DataFrame, scheme: str, p: BM25 = BM25(), norms: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score above 0, for a table (query_id, term)."""
-    rows = weights(index, scheme, queries, p, norms).join(queries, "term")
-    score = F.round(F.sum("weight"), DIGITS)
-    return rows.groupBy("query_id", "doc_id").agg(score.alias("score")).where("score > 0")
-
-
 def search(index: Index, query: str, scheme: str = "ltn", k: int = 10, p: BM25 = BM25(), norms: DataFrame | None = None) -> DataFrame:
     """doc_id, score of the k best documents, best first. The top is taken without a full sort."""
     rows = weights(index, scheme, query_terms(query, index.config), p, norms)
@@ -58,23 +52,25 @@ def search(index: Index, query: str, scheme: str = "ltn", k: int = 10, p: BM25 =
     return scores.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def ranked_by_scheme(index: Index, queries: DataFrame, schemes=SCHEMES, k: int = 1500, p: BM25 = BM25(), norms: DataFrame | None = None) -> DataFrame:
+    """scheme, query_id, rank, doc_id, score above 0: the k best of every query of a table (query_id, query)."""
+    terms = query_table(queries, index.config)
+    rows = weights_by_scheme(index, schemes, terms, p, norms).join(terms, "term")
+    scores = rows.groupBy("scheme", "query_id", "doc_id").agg(F.round(F.sum("weight"), DIGITS).alias("score")).where("score > 0")
+    order = Window.partitionBy("scheme", "query_id").orderBy(F.desc("score"), "doc_id")
+    best = scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return best.select("scheme", "query_id", "rank", "doc_id", "score")
+
+
 def ranked(index: Index, queries: DataFrame, scheme: str, k: int = 1500, p: BM25 = BM25(), norms: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, doc_id, score: the k best of every query of a table (query_id, query)."""
-    rows = scored(index, query_table(queries, index.config), scheme, p, norms)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    """query_id, rank, doc_id, score, as ranked_by_scheme."""
+    return ranked_by_scheme(index, queries, (scheme,), k, p, norms).drop("scheme")
 
 
 def batch(docs: DataFrame, queries: DataFrame, configs: list[Analyzer], schemes=SCHEMES, k: int = 1500) -> DataFrame:
-    """config, scheme, query_id, rank, doc_id, score: all rankings of a batch, one index for each configuration."""
-    rows = None
-    for config in configs:
-        index = build_index(docs, config)
-        norms = document_norms(index) if "ltc" in schemes else None
-        for scheme in schemes:
-            one = ranked(index, queries, scheme, k, norms=norms).select(F.lit(config.name).alias("config"), F.lit(scheme).alias("scheme"), "query_id", "rank", "doc_id", "score")
-            rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """config, scheme, query_id, rank, doc_id, score: all rankings of a batch, one index and one pass for each configuration."""
+    runs = [ranked_by_scheme(build_index(docs, config), queries, schemes, k).select(F.lit(config.name).alias("config"), "*") for config in configs]
+    return reduce(DataFrame.unionByName, runs)
 
 
 def weighting_experiment(index: Index, query: str, doc_id, scheme: str, k: int = 10) -> dict:

@@ -38,31 +38,38 @@ def document_norms(index: Index) -> DataFrame:
     return index.docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0)).alias("norm"))
 
 
-def weights(index: Index, scheme: str, terms: list[str] | DataFrame | None = None, p: BM25 = BM25(), norms: DataFrame | None = None) -> DataFrame:
-    """term, doc_id, weight for every posting, or for those of the given terms.
+def _selected(index: Index, terms: list[str] | DataFrame | None) -> DataFrame:
+    """The postings of the given terms. This filter comes first: df depends on a term's own postings only."""
+    if terms is None:
+        return index.postings
+    if isinstance(terms, list):
+        return index.postings_for(terms)
+    return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def weights_by_scheme(index: Index, schemes=SCHEMES, terms: list[str] | DataFrame | None = None, p: BM25 = BM25(), norms: DataFrame | None = None) -> DataFrame:
+    """scheme, term, doc_id, weight for every posting of the given terms: all schemes from one pass over the postings.
 
-    Filtering by term comes first: df depends on a term's own postings only, norms on the whole index.
-    An unknown scheme is read as ltn, with a warning.
+    Norms are over the whole index, whatever the terms.
     """
-    if scheme not in SCHEMES:
-        logging.getLogger(__name__).warning("unknown scheme %s, ltn is used", scheme)
-        scheme = "ltn"
-    postings = index.postings
-    if isinstance(terms, list):
-        postings = index.postings_for(terms)
-    elif terms is not None:
-        postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    rows = with_statistics(postings, index)
+    rows = with_statistics(_selected(index, terms), index)
     tf, df, n = F.col("tf"), F.col("df"), F.col("doc_count")
-    if scheme == "bm25":
+    plain = ltn(tf, df, n)
+    if "bm25" in schemes:
         rows = rows.join(index.docs, "doc_id")
-        weight = bm25(tf, df, n, F.col("dl"), F.col("avg_doc_length"), p)
-    elif scheme == "ltc":
+    if "ltc" in schemes:
         rows = rows.join(document_norms(index) if norms is None else norms, "doc_id")
-        weight = ltn(tf, df, n) / F.col("norm")
-    else:
-        weight = ltn(tf, df, n)
-    return rows.select("term", "doc_id", weight.alias("weight"))
+    each = {"ltn": lambda: plain, "ltc": lambda: plain / F.col("norm"), "bm25": lambda: bm25(tf, df, n, F.col("dl"), F.col("avg_doc_length"), p)}
+    listed = F.explode(F.array(*[F.struct(F.lit(s).alias("scheme"), each[s]().alias("weight")) for s in schemes]))
+    return rows.select("term", "doc_id", listed.alias("w")).select("w.scheme", "term", "doc_id", "w.weight")
+
+
+def weights(index: Index, scheme: str, terms: list[str] | DataFrame | None = None, p: BM25 = BM25(), norms: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, weight for every posting, or for those of the given terms; an unknown scheme is read as ltn, with a warning."""
+    if scheme not in SCHEMES:
+        logging.getLogger(__name__).warning("unknown scheme %s, ltn is used", scheme)
+        scheme = "ltn"
+    return weights_by_scheme(index, (scheme,), terms, p, norms).select("term", "doc_id", "weight")
 
 
 def term_weight(index: Index, term: str, doc_id, scheme: str) -> DataFrame:
