@@ -39,7 +39,7 @@ def kept_by_rules(text):
         n < 50
         or 100 * m["n_repeat_words"] > 50 * n
         or 100 * m["n_symbols"] > 30 * n
-        or 100 * m["n_dup_lines"] > 30 * m["n_lines"]
+        or 100 * m["n_dup_lines"] > 50 * m["n_lines"]
         or m["word_chars"] < 2 * n
         or m["word_chars"] > 20 * n
         or m["n_upper"] > m["n_lower"]

@@ -39,7 +39,7 @@ def _rules() -> list[tuple[int, str, Column]]:
                 (0, "too_few_words", c("n_words") < 50),
                 (1, "repeated_words", 100 * c("n_repeat_words") > 50 * c("n_words")),
                 (2, "symbols", 100 * c("n_symbols") > 30 * c("n_words")),
-                (3, "repeated_lines", 100 * c("n_dup_lines") > 30 * c("n_lines")),
+                (3, "repeated_lines", 100 * c("n_dup_lines") > 50 * c("n_lines")),
                 (4, "short_words", c("word_chars") < 2 * c("n_words")),
                 (5, "long_words", c("word_chars") > 20 * c("n_words")),
                 (6, "shouting", c("n_upper") > c("n_lower")),
@@ -204,7 +204,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS BIGINT) AS n_lower
       FROM w LEFT JOIN ln USING (r) LEFT JOIN rep USING (r)),
 b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
-        + 4 * (100 * n_symbols > 30 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT
+        + 4 * (100 * n_symbols > 30 * n_words)::INT + 8 * (100 * n_dup_lines > 50 * n_lines)::INT
         + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT
         + 64 * (n_upper > n_lower)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
