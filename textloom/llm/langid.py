@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
 from .words import LOWER, text_chunks
 
 BUCKET_BITS = 16
@@ -125,6 +126,7 @@ class Model:
 
 def fit(labelled: DataFrame) -> Model:
     """labelled: text, lang. All of its rows with both count."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sums = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
@@ -145,6 +147,7 @@ def fit(labelled: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: list[Column] | None = None) -> DataFrame:
     """The columns of keep (doc_id by default), then lang_pred, score and ambiguous."""
+    bound_batches(docs.sparkSession)
     kept = docs.select(*(keep or [F.col("doc_id")]), F.col("text").cast("string").alias("text_"))
     names = kept.columns[:-1]
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
 from .tokens import default_tokenizer, encoder
 from .words import text_chunks
 
@@ -27,6 +28,7 @@ BLOCK = 256
 def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """length, n_docs."""
 
+    bound_batches(docs.sparkSession)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:

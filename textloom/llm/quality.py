@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .shared import bound_batches
 from .words import SPACE, Ranges, U, per_text, split_words, text_chunks
 
 SYMBOLS = np.zeros(256, bool)
@@ -132,6 +133,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, the measurements and fail_bits."""
+    bound_batches(docs.sparkSession)
     measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, _SCHEMA)
     bits = F.lit(0).cast("long")
     for bit, _, test in _rules():
@@ -162,6 +164,7 @@ def filter_documents(docs: DataFrame, policy: Policy = V1) -> DataFrame:
 
     The verdict travels beside the row through Python, so no join and no shuffle is needed.
     """
+    bound_batches(docs.sparkSession)
     names = docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

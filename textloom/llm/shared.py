@@ -5,12 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 8 << 20
 _own: dict[str, str] = {}
 
 
@@ -35,6 +34,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
         atexit.register(self._clean)
 
@@ -54,19 +54,15 @@ class Scratch:
         drop_table(self.spark, f"{self.root}/{name}")
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
-    """While a table is written, Arrow batches have at most that size: rows of large values would otherwise fill a worker's memory."""
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most BATCH bytes, as far as they were larger.
+
+    Spark's own bound of 64 MB is held several times over by each worker that reads and returns texts or images.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    now = spark.conf.get(key, "64m")
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH:
+        spark.conf.set(key, f"{BATCH}b")
 
 
 def whole_text(col: str | Column = "text") -> Column:
