@@ -273,6 +273,61 @@ def test_media(spark):
     assert all(got[k].n_links == 0 for k in range(900, 905))
 
 
+def linked(one, two):
+    """Whether six corners agree on one movement, by all pairs of corners. one, two: images as arrays."""
+    (p, x), (q, y) = (tuple(map(np.concatenate, list(zip(*media.features(m[None])))[1:])) for m in (one, two))
+    i, j = np.nonzero(np.bitwise_count((x[:, None] ^ y[None]).view(np.uint64)).sum(-1, dtype=int) <= media.NEAR)
+    read = lambda v: ((v >> 32) / 8, (v >> 8 & 0xFFFFFF) / 8, np.array(media.SCALES)[v >> 5 & 7], v & 31)
+    (px, py, ps, pt), (qx, qy, qs, qt) = read(p[i]), read(q[j])
+    turn, zoom = (qt - pt) % media.TURNS, ps / qs
+    c, s = np.cos(turn * 2 * np.pi / media.TURNS), np.sin(turn * 2 * np.pi / media.TURNS)
+    move = (qx - zoom * (px * c - py * s)) / media.CELL, (qy - zoom * (px * s + py * c)) / media.CELL
+    votes = {}
+    for a, b, k in np.ndindex(2, 2, 2):
+        cells = zip(np.round(np.log2(zoom) * 2), np.floor(move[0] + a / 2), np.floor(move[1] + b / 2), (turn + k) % media.TURNS)
+        for cell, corner in zip(cells, i):
+            votes.setdefault((a, b, k, cell), set()).add(corner)
+    return max(map(len, votes.values()), default=0) >= media.AGREE
+
+
+def classes(images):
+    """id: (class_id, n_links) by comparing all pairs."""
+    ids = sorted(images)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if linked(images[a], images[b])]
+    root = {k: k for k in ids}
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return {k: (root[k], sum(k in e for e in links)) for k in ids}
+
+
+def found_classes(spark, images):
+    rows = [(k, m.shape[0], m.shape[1], m.tobytes()) for k, m in images.items()]
+    return {x.id: (x.class_id, x.n_links) for x in media.copies(spark.createDataFrame(rows, "id long, height int, width int, data binary")).collect()}
+
+
+def marked(r, marks, places):
+    """Small marks, far apart on a flat ground: each corner sees one mark only, so images with the same marks share its entries."""
+    image = np.full((190, 190), 128, np.uint8)
+    for mark, k in zip(marks, places):
+        image[30 + 60 * (k // 3) :, 30 + 60 * (k % 3) :][:4, :4] = mark
+    return image
+
+
+def test_media_entry_of_several_groups(spark):
+    """Every image has the same nine marks; only images with one arrangement of them are copies."""
+    r = np.random.default_rng(11)
+    marks = [np.kron(r.integers(0, 256, (2, 2)), np.ones((2, 2))).astype(np.uint8) for _ in range(9)]
+    images = {}
+    for k in range(8):
+        places = r.permutation(9)
+        for j in range(1 if k in (0, 7) else 4):
+            images[k * 10 + j] = marked(r, marks, places)
+    expected = classes(images)
+    assert found_classes(spark, images) == expected
+    assert len({c for c, _ in expected.values()}) == 8
+
+
 OPERATORS = {
     "quality": lambda d: quality.apply_policy(quality.ledger(d)),
     "filter": quality.filter_documents,
