@@ -328,6 +328,38 @@ def test_media_entry_of_several_groups(spark):
     assert len({c for c, _ in expected.values()}) == 8
 
 
+def rescaled(image, factor):
+    for axis in (0, 1):
+        n = image.shape[axis]
+        at = np.clip((np.arange(int(n * factor)) + 0.5) / factor - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        part = (at - low)[:, None] if axis == 0 else at - low
+        image = np.take(image, low, axis) * (1 - part) + np.take(image, np.minimum(low + 1, n - 1), axis) * part
+    return np.rint(image).astype(np.uint8)
+
+
+def encoded(image, step):
+    """Cosine transforms of 8 x 8 pixels, rounded to multiples of the step."""
+    k = np.arange(8)
+    base = np.where(k == 0, 1, 2**0.5)[:, None] / 8**0.5 * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)
+    blocks = base @ image.reshape(12, 8, 12, 8).transpose(0, 2, 1, 3) @ base.T
+    return np.clip((base.T @ (np.round(blocks / step) * step) @ base).transpose(0, 2, 1, 3).reshape(96, 96), 0, 255).astype(np.uint8)
+
+
+def test_media_recall(spark):
+    """Rescaled and encoded copies against all pairs of corners."""
+    r = np.random.default_rng(12)
+    images = {}
+    for k in range(12):
+        image = media.picture(r.normal(size=64))
+        forms = [image, rescaled(image, 1.25), rescaled(image, 0.8), rescaled(image, 1.1), encoded(image, 24), encoded(image, 60)]
+        images |= {k * 10 + j: form for j, form in enumerate(forms)}
+    expected, found = classes(images), found_classes(spark, images)
+    n, m = (sum(x for _, x in c.values()) // 2 for c in (expected, found))
+    print(f"links: {m} of {n}")
+    assert all(found[k][1] <= expected[k][1] for k in images) and m >= 0.8 * n
+
+
 OPERATORS = {
     "quality": lambda d: quality.apply_policy(quality.ledger(d)),
     "filter": quality.filter_documents,
