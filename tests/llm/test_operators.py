@@ -230,6 +230,16 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licenses_as_published(spark):
+    texts = dict(licenses.LICENSES)
+    isc = texts["ISC"].removeprefix("ISC License ").replace("above copyright", "above\ncopyright")
+    bsd = texts["BSD-3-Clause"].replace("of the copyright", "of the\ncopyright").replace("THE COPYRIGHT HOLDER OR", "THE\nCOPYRIGHT HOLDER OR")
+    mit = texts["MIT"].replace("MIT License ", "").replace(". ", ".\n# ")
+    rows = [(1, f"ISC License\n\nCopyright (c) 2004, Someone\n\n{isc}\n"), (2, isc), (3, f"Copyright 2020 Someone\nAll rights reserved.\n\n{bsd}"), (4, f"# Copyright (c) 2020 Someone\n#\n# {mit}"), (5, f"{isc} more")]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "ISC", 2: "ISC", 3: "BSD-3-Clause", 4: "MIT", 5: None}
+
+
 def test_language_id(spark):
     r = np.random.default_rng(3)
     vocab = {lang: vocabulary(k, 300) for k, lang in enumerate(["aa", "bb", "cc", "dd", "ee", "ff"])}

@@ -2,7 +2,9 @@
 
 A text is brought to a canonical form: lower case, lines that are only a copyright claim removed,
 spellings that licence matching treats as equal made equal, everything but letters and digits read
-as a separator. The digest of the whole canonical text is joined with the digests of known licences,
+as a separator. For known licences, only real claims (with a sign or a year), reservations of rights
+and titles are left out, and the digest of what remains is joined; the digest given out is that of
+the canonical text, in which every line that begins with copyright is empty. Texts are joined whole,
 and the digest of each whole line with those of known notices, so texts are compared entire and
 never by parts of a line. The register of known texts is a constant of this module (a few dozen
 rows), hence the broadcast.
@@ -79,6 +81,20 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.split(form, "\n"), lambda line: F.trim(line))
 
 
+#: A claim: the word or sign, then (c) or a year, perhaps behind comment marks; or the reservation of rights alone.
+CLAIM = r"(^|\n)[^\p{L}\p{N}\n(©]*((copyright[ \t]*:?[ \t]*)?(\(c\)|©)[^\n]*|copyright[ \t]*:?[ \t]*[0-9]{4}[^\n]*|all rights reserved[. \t\r]*(?=\n|$))"
+TITLE = r"^(the )?(mit|isc|bsd 2 clause|bsd 3 clause|zlib) license( mit| isc)? "
+
+
+def licence_form(text: Column) -> Column:
+    """The canonical form of a whole text without claims, comment marks and title, as licences are matched by it."""
+    form = F.lower(text)
+    for a, b in SPELLINGS:
+        form = F.replace(form, F.lit(a), F.lit(b))
+    form = F.regexp_replace(form, CLAIM, "$1")
+    return F.regexp_replace(F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " ")), TITLE, "")
+
+
 def digest(form: Column) -> Column:
     return F.sha2(form, 256)
 
@@ -92,7 +108,8 @@ def known(spark: SparkSession) -> DataFrame:
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = ", ".join(f"({quoted(kind)}, {quoted(name)}, {quoted(text)})" for kind, register in (("text", LICENSES), ("notice", NOTICES)) for name, text in register)
     register = spark.sql(f"SELECT * FROM VALUES {rows} AS t(kind, license, text)")
-    return register.select(digest(whole(canonical_lines(F.col("text")))).alias("digest"), "license", "kind").distinct()
+    form = F.when(F.col("kind") == "text", licence_form(F.col("text"))).otherwise(whole(canonical_lines(F.col("text"))))
+    return register.select(digest(form).alias("digest"), "license", "kind").distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -100,12 +117,12 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     register = known(spark).collect()  # the module's constant, a few dozen rows
     texts = ", ".join(f"('{x.digest}', '{x.license}')" for x in register if x.kind == "text")
-    texts = F.broadcast(spark.sql(f"SELECT * FROM VALUES {texts} AS t(digest, license)"))
+    texts = F.broadcast(spark.sql(f"SELECT * FROM VALUES {texts} AS t(form_digest, license)"))
     notes = F.create_map(*[F.lit(v) for x in register if x.kind == "notice" for v in (x.digest, x.license)])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text").cast("string")).alias("lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text").cast("string")).alias("lines"), digest(licence_form(F.col("text").cast("string"))).alias("form_digest"))
     found = F.transform(F.filter("lines", lambda line: line != ""), lambda line: F.element_at(notes, digest(line)))
-    rows = rows.select("doc_id", digest(whole(F.col("lines"))).alias("digest"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",").alias("notices"))
-    return rows.join(texts, "digest", "left").select("doc_id", "digest", "license", F.nullif("notices", F.lit("")).alias("notices"))
+    rows = rows.select("doc_id", "form_digest", digest(whole(F.col("lines"))).alias("digest"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",").alias("notices"))
+    return rows.join(texts, "form_digest", "left").select("doc_id", "digest", "license", F.nullif("notices", F.lit("")).alias("notices"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
