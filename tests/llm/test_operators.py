@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -31,8 +32,34 @@ def test_word_ranges():
     assert got == [words(t) for t in texts]
     x = np.array([5, 6, 7, 5, 6, 7, 5, 6], U)
     r = Ranges(x)
-    h = r(np.arange(6), np.arange(6) + 3)
+    h = r(np.arange(6), 3)
     assert h[0] == h[3] and len(set(h.tolist())) == 3
+    assert (r(np.arange(4), np.array([1, 2, 3, 4])) == np.array([r(np.array([k]), k + 1)[0] for k in range(4)])).all()
+
+
+def exchanged(n, a="a", b="b"):
+    """Two sequences of n parts, one the exchange of the other, whose weighted sums modulo 2**64 are equal from 1024 on, whatever the weight."""
+    x, y = [a], [b]
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_exchanged_letters_and_words(spark, tokenizer, n):
+    x, y = ("".join(v) for v in exchanged(n))
+    p, q = (" ".join(v) for v in exchanged(n))
+    assert x != y and len(x) == n
+    rows = [(1, f"{x}\n{y}"), (2, x), (3, y), (4, f"{x}\n{x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.ledger(docs).collect()}
+    assert [got[k].n_dup_lines for k in (1, 2, 3, 4)] == [0, 0, 0, 1]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 2).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    values = Ranges(split_words(np.frombuffer(f"{p} {q}".encode(), np.uint8), np.array([0, 4 * n - 1])).values()[0])
+    assert values(np.array([0, n]), n)[0] != values(np.array([0, n]), n)[1]
+    assert lengths.histogram(docs, tokens.default_tokenizer()).agg(F.sum(F.col("length") * F.col("n_docs"))).first()[0] == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) for _, t in rows)
+    long = [(k, f"{' '.join(map(str, range(100 * k, 100 * k + 60)))} {t}") for k, t in ((1, x), (2, y))]
+    assert suffix.document_spans(spark.createDataFrame([(k, f"{t} {' '.join(f'{j}' for j in range(49))}") for k, t in long], "doc_id long, text string")).collect() == []
 
 
 def test_quality(docs, corpus):
@@ -69,6 +96,50 @@ def test_near_duplicates(docs, corpus, shingle):
     assert all(r.kept == (r.component_id == d) for d, r in got.items())
 
 
+@pytest.mark.parametrize("own", [14, 8])
+def test_near_crowds(spark, monkeypatch, own):
+    """Texts that fill the slots of one template with words of their own: similarity 0.75, below the threshold, or 0.85.
+
+    The pairs that are formed grow as the crowd, and components equal brute force.
+    """
+    r = random.Random(own)
+    formed = {}
+    for size in (100, 200, 400):
+        template = [f"t{k}" for k in range(100)]
+        rows = []
+        for k in range(size):
+            w = list(template)
+            for j in range(own):
+                w[7 * j] = f"x{r.randrange(10**9)}"
+            rows.append((k, " ".join(w)))
+        rows += [(1000 + k, rows[k][1] + " end") for k in range(0, size, 10)]  # a link of each tenth text to a copy of its own
+        pairs = []
+        plain = Scratch.write
+
+        def counted(self, df, name, plain=plain, pairs=pairs):
+            out = plain(self, df, name)
+            if name.startswith("likely"):
+                pairs.append(out.count())
+            return out
+
+        monkeypatch.setattr(Scratch, "write", counted)
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+        monkeypatch.setattr(Scratch, "write", plain)
+        formed[size] = sum(pairs)
+        if size < 400:
+            assert got == near_components(rows, 1)[0]
+        assert len(set(got.values())) == (size if own == 14 else 1)
+    assert formed[400] <= 2.6 * formed[200] and formed[200] <= 2.6 * formed[100] and formed[400] < 400 * 40, formed
+    print(formed)
+
+
+def test_documents_of_several_texts(spark):
+    """Rows of one doc_id are one document; one of its texts stands for it."""
+    rows = [(1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (3, "a b c d"), (4, None), (4, ""), (5, "x"), (5, "x"), (None, "x")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got in [{(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True), (None, 5, False)}, {(1, 1, True), (3, 1, False), (2, 2, True), (4, 4, True), (5, 5, True), (None, 5, False)}]
+
+
 def test_signature_estimates():
     r = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):

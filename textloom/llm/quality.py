@@ -5,8 +5,10 @@ each document; policies are versioned masks over those bits, so that changing a
 what a rule costs (an ablation) is a bitwise filter or aggregation over the ledger, without a
 second look at any text.
 
-Null text counts as text without words. Rows are never merged or dropped: repeated rows give
-repeated ledger rows, an empty table gives an empty ledger, columns of other names are ignored.
+Texts are measured whole; a text larger than a chunk is a chunk of its own. Words, windows and lines
+are told apart by their bytes. Null text counts as text without words. Rows are never merged or
+dropped: repeated rows give repeated ledger rows, an empty table gives an empty ledger, columns of
+other names are ignored, also if they have the names of measurements.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import bound_batches
-from .words import SPACE, Ranges, U, per_text, split_words, text_chunks
+from .shared import bound_batches, free_name
+from .words import SPACE, Words, numbered, per_text, split_words, text_chunks
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -66,11 +68,17 @@ BASE = Policy("base", ("too_few_words", "repeated_words"))
 V1 = Policy("v1", ("too_few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "shouting"))
 
 
-def _repeated(words, values: np.ndarray) -> np.ndarray:
+def _repeated(words: Words) -> np.ndarray:
     """How many words of each text lie in a window of three that the text holds twice or more."""
-    at, gram = words.grams(3, values)
+    at = words.grams(3)
     if not len(at):
         return np.zeros(len(words.first) - 1, np.int64)
+    number, distinct = words.numbers()
+    # Two words in one number, then three: exact as long as the distinct words are fewer than 2**31.
+    pair, many = number[:-1] * len(distinct) + number[1:], len(distinct) ** 2
+    if many * len(distinct) >= 1 << 62:
+        _, pair = np.unique(pair, return_inverse=True)
+    gram = pair[at] * len(distinct) + number[at + 2]
     order = np.lexsort((gram, words.doc[at]))
     doc, gram = words.doc[at][order], gram[order]
     same = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1])
@@ -84,40 +92,39 @@ def _repeated(words, values: np.ndarray) -> np.ndarray:
     return per_text(covered, words.first)
 
 
-def _lines(words, prefix: Ranges) -> tuple[np.ndarray, np.ndarray]:
+def _lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those of them that equal an earlier line of the text."""
     buf, offsets = words.buf, words.offsets
     breaks = np.flatnonzero(buf == 10)
     start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     start = start[start < len(buf)]
+    n = len(offsets) - 1
     if not len(start):
-        none = np.zeros(len(offsets) - 1, np.int64)
-        return none, none
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
     end = np.append(start[1:], len(buf))
     doc = np.searchsorted(offsets, start, side="right") - 1
     end = np.minimum(end, offsets[doc + 1])
     end = end - (buf[end - 1] == 10)
     has = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, doc = start[has], end[has], doc[has]
-    order = np.lexsort((prefix(start, end), doc))
-    doc, key = doc[order], prefix(start, end)[order]
+    number, _ = numbered(buf, start, end)
+    order = np.lexsort((number, doc))
+    doc, key = doc[order], number[order]
     again = np.zeros(len(doc), bool)
     again[1:] = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1])
-    n = len(offsets) - 1
     return np.bincount(doc, minlength=n), np.bincount(doc[again], minlength=n)
 
 
 def measure_chunk(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     words = split_words(buf, offsets)
-    prefix = Ranges(buf.astype(U))
     points = ~SPACE[buf] & ((buf & 0xC0) != 0x80)
-    lines, dup_lines = _lines(words, prefix)
+    lines, dup_lines = _lines(words)
     return [
         words.counts,
         per_text(points, offsets),
         per_text(SYMBOLS[buf], offsets),
         dup_lines,
-        _repeated(words, prefix(words.start, words.end)),
+        _repeated(words),
         lines,
         per_text((buf >= 65) & (buf <= 90), offsets),
         per_text((buf >= 97) & (buf <= 122), offsets),
@@ -131,14 +138,19 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *MEASURES])
 
 
+def fail_bits() -> Column:
+    """A bit for each rule that the measurements in scope fail."""
+    bits = F.lit(0).cast("long")
+    for bit, _, test in _rules():
+        bits = bits.bitwiseOR(F.when(test, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, the measurements and fail_bits."""
     bound_batches(docs.sparkSession)
     measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, _SCHEMA)
-    bits = F.lit(0).cast("long")
-    for bit, _, test in _rules():
-        bits = bits.bitwiseOR(F.when(test, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", fail_bits())
 
 
 def apply_policy(rows: DataFrame, policy: Policy = V1) -> DataFrame:
@@ -162,25 +174,24 @@ def ablation(rows: DataFrame, policy: Policy = V1) -> DataFrame:
 def filter_documents(docs: DataFrame, policy: Policy = V1) -> DataFrame:
     """The documents that the policy keeps, with their columns as they were; repeated rows stay repeated.
 
-    The verdict travels beside the row through Python, so no join and no shuffle is needed.
+    The bits are those of the ledger, and the policy's mask is applied to them. The measurements
+    travel beside the row through Python, so no join and no shuffle is needed.
     """
     bound_batches(docs.sparkSession)
     names = docs.columns
+    extra = free_name("measures", names)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
             for lo, hi, buf, offsets in text_chunks(batch.column(at)):
-                measures = [pa.array(x, pa.int64()) for x in measure_chunk(buf, offsets)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *measures], [*names, *(f"rule_measure_{m}" for m in MEASURES)])
+                measures = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure_chunk(buf, offsets)], MEASURES)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, measures], [*names, extra])
 
-    judged = docs.mapInArrow(judge, StructType([*docs.schema.fields, *(StructField(f"rule_measure_{m}", LongType()) for m in MEASURES)]))
-    fails = F.lit(False)
-    for bit, _, test in _rules():
-        if (policy.mask | BASE.mask) >> bit & 1:
-            fails = fails | test
-    measured = judged.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), *[F.col(f"rule_measure_{m}").alias(m) for m in MEASURES])
-    return measured.where(~fails).select("row.*")
+    measured = StructType([StructField(m, LongType()) for m in MEASURES])
+    judged = docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(extra, measured)]))
+    rows = judged.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(f"{extra}.*"))
+    return rows.where(fail_bits().bitwiseAND(F.lit(policy.mask | BASE.mask)) == 0).select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

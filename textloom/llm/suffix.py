@@ -1,26 +1,32 @@
 """Repeated passages by a sparse suffix array.
 
 A passage is repeated if it has 50 words or more and occurs at two places of the corpus. Of each
-text, only the suffixes at minimiser positions are retained: a position is selected if the hash of
+text, only the suffixes at minimiser positions are retained: a position is selected if the name of
 the 8 words there is the least in some run of 32 such positions, which depends on the words alone.
 Any window of 50 words therefore begins at most 31 words before a selected suffix whose first 19
 words lie in the window, and equal windows select the same one.
 
-1. Suffixes are sorted into groups by their first 19 words. Groups with one occurrence go.
-2. Suffixes left in a group are extended: to the left over the up to 31 words that the windows
-   using this suffix can have before it, to the right until 50 words are reached. Each extension is
-   a window of 50 words, named by its hash.
-3. Equal windows are neighbours. A window that occurs twice is repeated; its first occurrence, in
-   the order of doc_id and position, is the one that stays.
-4. Windows of a text are merged into maximal spans.
-
-Steps 1 and 3 are partial aggregates followed by joins that adaptive execution can split, so a
-passage that a third of all documents share takes no task of its own. Texts that are equal
-throughout are compared once: only the copy with the least doc_id goes through the steps.
-
-Null text has no words. Rows of one doc_id with the same text are one occurrence and share their
-spans. A null doc_id orders after all others. Words are ``[^\\x20\\x09-\\x0D]+``, compared by byte.
-Empty tables and texts under 50 words give no spans; other columns are not looked at.
+1. Suffixes are sorted over the whole corpus: by their first 19 words, then by all words that a
+   window using them can have (up to 31 to the left, 50 to the right), then by doc_id and position.
+   Words are ordered by their names, which is as good an order as any for finding what is equal.
+2. Neighbours are compared. Those that agree on all these words match over every window that uses
+   the suffix; the match is extended to the left and to the right as far as such windows reach, and
+   is kept as one span. All but the first of such a group occurred earlier.
+3. Neighbours that share the first 19 words, but not all, may match over some windows only. The first
+   of each group of equals is extended word by word, to the left by 0 to 31 words and to the right
+   until 50 are reached, and each extension is looked up among those of the others. So passages that
+   end within those words, or were edited there, are cut where their match ends.
+4. The spans of a text are merged into maximal ones.
+
+Sorting is by ranges of all sort columns, so that a passage that a third of all documents share is
+dealt to as many tasks as it needs. Neighbours are compared within Arrow batches of a sorted
+partition; suffixes at the edge of a batch are treated as in step 3, which decides exactly. Names
+are 64 bits for the first 19 words and another 64 for what lies around them.
+
+Texts are read whole. Null text has no words. Rows of one doc_id with the same text are one
+occurrence and share their spans; copies under another doc_id repeat from end to end. A null doc_id
+orders after all others. Words are ``[^\\x20\\x09-\\x0D]+``, compared by byte. Empty tables and
+texts under 50 words give no spans; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,146 +37,158 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .shared import Scratch
-from .words import Ranges, Words, split_words, text_chunks
+from .shared import Scratch, free_name, sized
+from .words import Ranges, U, Words, joined, split_words, text_chunks
 
 LEAST = 50
 GRAM, RUN = 8, 32
 HEAD = LEAST - RUN + 1
 
+REPEATED, EARLIER, OPEN = 1, 2, 4
+_SUFFIX = "head long, around long, doc long, key long, pos int, left int, near int"
+_MET = "head long, doc long, key long, pos int, left int, near int, kind int"
+_WINDOW = "head long, name long, doc long, key long, start int"
 
-def selected(words: Words, values: np.ndarray, ranges: Ranges) -> np.ndarray:
-    """Sorted minimiser positions of texts with LEAST words or more; at equal hashes the leftmost counts."""
-    runs = run_minima(words, values, ranges)[1]
-    return np.unique(runs)
 
-
-def run_minima(words: Words, values: np.ndarray, ranges: Ranges) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows of LEAST words, and the position that each window selects."""
-    n = len(values)
-    start = np.arange(max(0, n - LEAST + 1))
-    start = start[words.doc[start] == words.doc[start + LEAST - 1]]
+def run_minima(words: Words, ranges: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected positions, with the first and the last window start that selects each; at equal names the leftmost counts."""
+    n = len(words.start)
+    start = words.grams(LEAST)
     if not len(start):
-        return start, start
-    gram = ranges(np.arange(n - GRAM + 1), np.arange(n - GRAM + 1) + GRAM)
+        return start, start, start
+    gram = ranges(np.arange(n - GRAM + 1), GRAM)
     # The least of each run, by doubling: the leftmost of equal minima wins.
     best, width = np.arange(len(gram)), 1
     while width < RUN:
         a, b = best[:-width], best[width:]
         best = np.where(gram[b] < gram[a], b, a)
         width *= 2
-    return start, best[start]
+    choice = best[start]
+    turn = np.flatnonzero(np.diff(choice)) + 1
+    lows = np.concatenate([[0], turn])
+    return choice[lows], start[lows], start[np.concatenate([turn - 1, [len(start) - 1]])]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offsets in text_chunks(batch.column("text")):
             words = split_words(buf, offsets)
-            values = words.hashes()
-            ranges = Ranges(values)
-            at = selected(words, values, ranges)
-            head = ranges(at, at + HEAD)
-            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), batch.column("key").slice(lo, hi - lo).take(pa.array(words.doc[at])), pa.array(at - words.first[words.doc[at]], pa.int32())], ["head", "key", "pos"])
+            first, second = words.values()
+            ranges = Ranges(first)
+            at, low, high = run_minima(words, ranges)
+            doc = words.doc[at]
+            before, after = np.minimum(RUN - 1, at - words.first[doc]), np.minimum(LEAST, words.first[doc + 1] - at)
+            around = joined(Ranges(second)(at - before, before + after), before.astype(U))
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ranges(at, HEAD).view(np.int64)),
+                    pa.array(around.view(np.int64)),
+                    batch.column("doc").slice(lo, hi - lo).take(take),
+                    batch.column("key").slice(lo, hi - lo).take(take),
+                    *(pa.array(x, pa.int32()) for x in (at - words.first[doc], at - low, at - high)),
+                ],
+                ["head", "around", "doc", "key", "pos", "left", "near"],
+            )
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes; those with a neighbour of the same head, and what is known of them."""
+
+    def changes(*columns: np.ndarray) -> np.ndarray:
+        """Whether each row differs from the one before."""
+        out = np.ones(len(columns[0]), bool)
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return out
+
+    for batch in batches:
+        columns = {name: batch.column(name).fill_null(0).to_numpy() for name in ("head", "around", "doc", "key", "pos")}
+        own = np.flatnonzero(changes(*columns.values(), np.asarray(batch.column("doc").is_null())))  # repeated rows of one document are one occurrence
+        if not len(own):
+            continue
+        head, around = columns["head"][own], columns["around"][own]
+        first = changes(head, around)
+        last = np.append(first[1:], True)
+        group = np.cumsum(changes(head)) - 1
+        blocks = np.bincount(group, first)
+        kind = np.where(first & last, 0, REPEATED) | np.where(first, 0, EARLIER)
+        kind |= np.where(first & ((blocks[group] > 1) | (group == 0) | (group == group[-1])), OPEN, 0)
+        some = np.flatnonzero(kind)
+        rows = batch.take(pa.array(own[some])).select(["head", "doc", "key", "pos", "left", "near"])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(kind[some], pa.int32())], [*rows.schema.names, "kind"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text, its word count (start -1) and the windows of its repeated suffixes."""
+    """Of each text, the windows of the suffixes in ``open``."""
     for batch in batches:
         for lo, hi, buf, offsets in text_chunks(batch.column("text")):
             words = split_words(buf, offsets)
-            values = words.hashes()
-            ranges = Ranges(values)
-            start, choice = run_minima(words, values, ranges)
-            wanted = np.zeros(len(values) + 1, bool)
-            for k, positions in enumerate(batch.column("positions").slice(lo, hi - lo)):
-                if positions.is_valid and len(positions.values):
-                    wanted[words.first[k] + positions.values.to_numpy()] = True
-            use = wanted[choice]
-            start = start[use]
-            doc = np.concatenate([np.arange(hi - lo), words.doc[start]])
-            name = np.concatenate([np.zeros(hi - lo, np.int64), ranges(start, start + LEAST).view(np.int64)])
-            first = np.concatenate([np.full(hi - lo, -1), start - words.first[words.doc[start]]])
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name), *(batch.column(c).slice(lo, hi - lo).take(take) for c in ("rep", "key", "more")), pa.array(first, pa.int32()), pa.array(words.counts[doc], pa.int64())],
-                ["name", "rep", "key", "more", "start", "n_words"],
-            )
-
-
-def _merged(starts: np.ndarray) -> list[tuple[int, int]]:
-    starts = np.unique(starts)
-    if not len(starts):
-        return []
-    breaks = np.flatnonzero(np.diff(starts) > LEAST)
-    lows = starts[np.concatenate([[0], breaks + 1])]
-    highs = starts[np.concatenate([breaks, [len(starts) - 1]])] + LEAST
-    return list(zip(lows.tolist(), highs.tolist(), strict=True))
+            lists = batch.column("open").slice(lo, hi - lo)
+            text = lists.value_parent_indices().to_numpy()
+            head, pos, left, near = (f.to_numpy() for f in lists.flatten().flatten())
+            sizes = left - near + 1
+            row = np.repeat(np.arange(len(pos)), sizes)
+            start = np.repeat(pos - left, sizes) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            name = Ranges(words.values()[1])(words.first[text[row]] + start, LEAST) if len(row) else np.zeros(0, U)
+            take = pa.array(text[row])
+            yield pa.RecordBatch.from_arrays([pa.array(head[row]), pa.array(name.view(np.int64)), *(batch.column(c).slice(lo, hi - lo).take(take) for c in ("doc", "key")), pa.array(start, pa.int32())], ["head", "name", "doc", "key", "start"])
 
 
 def merged_spans(starts: Column) -> Column:
-    """Maximal spans of the windows that begin at those words."""
+    """Maximal spans, in words, of the windows that begin in those ranges (lo to hi)."""
 
-    def merge(values):
-        return None if values is None else [{"lo": a, "hi": b} for a, b in _merged(np.asarray(values, np.int64))]
+    def merge(ranges):
+        out: list[dict] = []
+        for r in sorted((r["lo"], r["hi"]) for r in ranges):
+            if out and r[0] <= out[-1]["hi"]:
+                out[-1]["hi"] = max(out[-1]["hi"], r[1] + LEAST)
+            else:
+                out.append({"lo": r[0], "hi": r[1] + LEAST})
+        return out
 
     return F.udf(merge, "array<struct<lo:bigint,hi:bigint>>", useArrow=True)(starts)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and two keys that name equal texts alike."""
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    more = F.concat_ws("-", F.octet_length(text).cast("string"), F.crc32(F.encode(text, "UTF-8")).cast("string"))
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("key"), more.alias("more"), text.alias("text"))
-
-
-def _order(col: Column) -> Column:
-    return F.coalesce(col, F.lit((1 << 63) - 1))
+    """doc, key, text: two columns that name a document and its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key, more, rep, n_words, copies, repeats, cuts: for each distinct text with a repeated passage.
-
-    rep is the least doc_id with the text. repeats are its repeated spans and cuts those that occurred
-    earlier, as arrays of (lo, hi) in words; every other copy of the text (copies > 1) repeats from end to end.
-    """
+    """doc, key, repeats, cuts of each text with a repeated passage: its maximal repeated spans and those that occurred earlier, as arrays of (lo, hi) in words."""
     scratch = Scratch(docs.sparkSession)
     named = _identified(docs)
-    suffixes = named.select("key", "text").mapInArrow(_suffixes, "head long, key long, pos int")
-    suffixes = scratch.write(suffixes, "suffixes")
-    place = F.struct("key", "pos")
-    # Written, so that the join has an exchange on either side, of which adaptive execution can split a crowded head.
-    twice = scratch.write(suffixes.groupBy("head").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("head"), "heads")
-    positions = suffixes.join(twice, "head").groupBy("key").agg(F.collect_set("pos").alias("positions"))
-    texts = named.groupBy("key", "more").agg(F.min("doc_id").alias("rep"), (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("copies"))
-    wanted = texts.join(positions, "key", "left").where("positions is not null or copies > 1")
-    wanted = scratch.write(wanted, "wanted")
-    chosen = named.join(wanted.withColumnsRenamed({"key": "k", "more": "m"}), (F.col("key") == F.col("k")) & (F.col("more") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    windows = scratch.write(chosen.select("rep", "key", "more", "positions", "text").mapInArrow(_windows, "name long, rep long, key long, more string, start int, n_words long"), "windows")
+    suffixes = scratch.write(named.select("doc", "key", "text").mapInArrow(_suffixes, _SUFFIX), "suffixes")
+    order = ["head", "around", F.col("doc").asc_nulls_last(), "key", "pos"]
+    met = scratch.write(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, _MET), "met")
     scratch.drop("suffixes")
-    counted = windows.where("start = -1").select("key", "more", "n_words").distinct()
-    found = windows.where("start >= 0").withColumn("place", F.struct(_order(F.col("rep")).alias("rep"), "key", "start"))
-    first = scratch.write(found.groupBy("name").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("name", "first"), "first")
-    hits = found.join(first, "name").groupBy("key", "more").agg(
-        merged_spans(F.collect_list("start")).alias("repeats"),
-        merged_spans(F.collect_list(F.when(F.col("place") != F.col("first"), F.col("start")))).alias("cuts"),
-    )
-    result = wanted.select("key", "more", "rep", "copies").join(counted, ["key", "more"]).join(hits, ["key", "more"], "left")
-    return scratch.write(result.where(f"repeats is not null or (copies > 1 and n_words >= {LEAST})"), "spans")
+
+    open_ = met.where(F.col("kind").bitwiseAND(F.lit(OPEN)) != 0).groupBy("doc", "key").agg(F.collect_list(F.struct("head", "pos", "left", "near")).alias("open"))
+    open_ = scratch.write(open_.withColumnsRenamed({"doc": "d", "key": "k"}), "open")
+    same = (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))
+    texts = named.join(sized(open_.select("d", "k"), 72), same, "left_semi")
+    asked = texts.join(sized(open_, 72 + 32 * F.size("open")), same).select("doc", "key", "text", "open")
+    windows = scratch.write(asked.mapInArrow(_windows, _WINDOW), "windows")
+    place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("key").alias("key"), F.col("start").alias("start"))
+    # Written, so that the join has an exchange on either side, of which adaptive execution can split a crowded window.
+    first = windows.groupBy("head", "name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("head", "name", "first")
+    found = windows.join(scratch.write(first, "first"), ["head", "name"])
+
+    some = found.select("doc", "key", F.col("start").alias("lo"), F.col("start").alias("hi"), (place != F.col("first")).alias("cut"))
+    whole = met.where(F.col("kind").bitwiseAND(F.lit(REPEATED)) != 0).select("doc", "key", (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") - F.col("near")).alias("hi"), (F.col("kind").bitwiseAND(F.lit(EARLIER)) != 0).alias("cut"))
+    span = F.struct(F.col("lo"), F.col("hi"))
+    lists = some.unionAll(whole).groupBy("doc", "key").agg(F.collect_set(span).alias("repeats"), F.collect_set(F.when(F.col("cut"), span)).alias("cuts"))
+    return scratch.keep(lists.select("doc", "key", merged_spans(F.col("repeats")).alias("repeats"), merged_spans(F.col("cuts")).alias("cuts")), "spans")
 
 
 def document_spans(docs: DataFrame) -> DataFrame:
     """doc_id, kind, start_word, end_word: maximal repeated spans (kind repeat) and their parts that occurred earlier (kind cut)."""
-    spans = repeated_spans(docs)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_words").alias("hi")))
-    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    copy = ~F.col("doc_id").eqNullSafe(F.col("rep"))
-    full = (F.col("copies") > 1) & (F.col("n_words") >= LEAST)
-    rows = _identified(docs).select("doc_id", "key", "more").join(spans, ["key", "more"])
-    rows = rows.withColumns({"repeat": F.when(full, whole).otherwise(F.coalesce("repeats", none)), "cut": F.when(copy & full, whole).otherwise(F.coalesce("cuts", none))})
-    listed = rows.select("doc_id", F.explode(F.concat(F.transform("repeat", lambda s: F.struct(F.lit("repeat").alias("kind"), s["lo"].alias("lo"), s["hi"].alias("hi"))), F.transform("cut", lambda s: F.struct(F.lit("cut").alias("kind"), s["lo"].alias("lo"), s["hi"].alias("hi"))))).alias("s"))
-    return listed.select("doc_id", "s.kind", F.col("s.lo").alias("start_word"), F.col("s.hi").alias("end_word")).distinct()
+    listed = [F.transform(column, lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s["lo"].alias("lo"), s["hi"].alias("hi"))) for column, kind in (("repeats", "repeat"), ("cuts", "cut"))]
+    rows = repeated_spans(docs).select(F.col("doc").alias("doc_id"), F.explode(F.concat(*listed)).alias("s"))
+    return rows.select("doc_id", "s.kind", F.col("s.lo").alias("start_word"), F.col("s.hi").alias("end_word")).distinct()
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -189,33 +207,39 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     A document of which no word is left goes. Rows with null text stay.
     """
-    spans = repeated_spans(docs)
+    spans = repeated_spans(docs).where(F.size("cuts") > 0)
     fields = docs.schema.fields
     names = docs.columns
+    extra = free_name("spans", names)
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns[: len(names)])
-            old = columns[text_at].to_pylist()
-            changed = {i: _cut(old[i], [(s["lo"], s["hi"]) for s in v]) for i, v in enumerate(batch.column("cut_spans_").to_pylist()) if v}
-            if changed:
-                columns[text_at] = pa.array([changed.get(i, t) for i, t in enumerate(old)], columns[text_at].type)
+            lists = batch.column(len(names)).to_pylist()
+            short = [i for i, v in enumerate(lists) if v]
+            keep = np.ones(batch.num_rows, bool)
+            if short:
+                old = columns[text_at].to_pylist()
+                for i in short:
+                    old[i] = _cut(old[i], [(s["lo"], s["hi"]) for s in lists[i]])
+                    keep[i] = bool(old[i].split())
+                columns[text_at] = pa.array(old, columns[text_at].type)
                 if chars_at is not None:
-                    count = columns[chars_at]
-                    columns[chars_at] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(count.to_pylist())], count.type)
-            keep = [i not in changed or bool(changed[i].split()) for i in range(len(old))]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+                    count = columns[chars_at].to_pylist()
+                    for i in short:
+                        count[i] = len(old[i])
+                    columns[chars_at] = pa.array(count, columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_words").alias("hi")))
+    row = F.struct(*[F.col(f"`{n}`") for n in names])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    more = F.concat_ws("-", F.octet_length(text).cast("string"), F.crc32(F.encode(text, "UTF-8")).cast("string"))
-    marked = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.xxhash64(text).alias("key"), more.alias("more"))
-    cuts = marked.join(spans.withColumnsRenamed({"key": "k", "more": "m"}), (F.col("key") == F.col("k")) & (F.col("more") == F.col("m")), "left")
-    doc = F.col("row")["doc_id"].cast("long")
-    copy = ~doc.eqNullSafe(F.col("rep")) & (F.col("copies") > 1) & (F.col("n_words") >= LEAST)
-    rows = cuts.select(*[F.col("row")[n].alias(n) for n in names], F.when(copy, whole).otherwise(F.col("cuts")).alias("cut_spans_"))
+    marked = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"))
+    cuts = sized(spans.select(F.col("doc").alias("d"), F.col("key").alias("k"), "cuts"), 72 + 32 * F.size("cuts"))
+    rows = marked.join(cuts, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")), "left")
+    span = ArrayType(StructType([StructField("lo", LongType()), StructField("hi", LongType())]))
+    rows = rows.select(*[F.col("row")[n].alias(n) for n in names], F.col("cuts").cast(span).alias(extra))
     return rows.mapInArrow(cut, StructType(fields))
 
 

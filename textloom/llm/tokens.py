@@ -3,10 +3,11 @@
 For a tokenizer that drops white space, folds case and separates letters, digits and signs, the ids
 of a text are the ids of its units, one after another. A unit is a run of Latin letters, of digits
 or of ASCII signs inside a word; a word with an apostrophe or with any other character is one unit.
-Units repeat, so each worker encodes a unit once and keeps its ids in a table of bounded size;
-texts are then assembled from that table with array operations. ``Encoder`` proves the property on
-a probe text when it opens a file and otherwise encodes whole texts. Strings of special tokens
-inside a text are ordinary text.
+Units repeat, so each worker encodes a unit once and keeps its ids, by the unit's bytes, in a table
+of bounded size; texts are then assembled from that table with array operations. ``Encoder`` checks
+the property on a probe text, which has every letter of that range beside letters, digits and signs,
+when it opens a file, and otherwise encodes whole texts. Strings of special tokens inside a text are
+ordinary text, as the tokenizers' own notes have it (``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import os
 
 import numpy as np
 
-from .words import LOWER, SPACE, U, Words, per_text, split_words
+from .words import LOWER, SPACE, Words, per_text, split_words
 
 #: Of each byte: 0 white space, 1 letter, 2 digit, 3 sign, 4 apostrophe or part of another character.
 _CLASS = np.full(256, 4, np.uint8)
@@ -24,7 +25,9 @@ _CLASS[[*range(65, 91), *range(97, 123)]] = 1
 _CLASS[48:58] = 2
 _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 3
 
-_PROBE = "Un,deux...Trois(4x56)É!ça-va ×÷, x÷y One\ttwo  THREE\n\n4.5 déjà-vu, it's\r\nnon break (x) end. Á\x0bΣΣ ́z"
+#: U+00C0 to U+017F without the signs of multiplication and division, and without the dotted capital I, which lower-cases to two characters.
+_LETTERS = [chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130)]
+_PROBE = "Un,deux...Trois(4x56)É!ça-va ×÷, x÷y One\ttwo  THREE\n\n4.5 déjà-vu, it's\r\nnon break (x) end. Á\x0bΣΣ ́z " + " ".join(f"{c} a{c}B {c}{c} 1{c}2 .{c}! {c}İ İ. 1İ_ " for c in _LETTERS)
 _open: dict[str, "Encoder"] = {}
 
 
@@ -45,9 +48,9 @@ def split_units(buf: np.ndarray, offsets: np.ndarray) -> Words:
     """The units of several texts; buf has ASCII letters in lower case."""
     words = split_words(buf, offsets)
     kind = _CLASS[buf]
-    # Two-byte letters: U+00C0 to U+017F but for the signs of multiplication and division.
+    # Two-byte letters: those of _LETTERS.
     lead = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC5))
-    lead = lead[~((buf[lead] == 0xC3) & ((buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)))]
+    lead = lead[~((buf[lead] == 0xC3) & ((buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)) | (buf[lead] == 0xC4) & (buf[lead + 1] == 0xB0))]
     kind[lead] = kind[lead + 1] = 1
     odd = np.concatenate([[0], np.cumsum(kind == 4)])
     plain = odd[words.end] == odd[words.start]
@@ -62,7 +65,7 @@ def split_units(buf: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 class Encoder:
-    KEEP = 1_000_000
+    KEEP, KEEP_BYTES = 1_000_000, 1 << 26
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,48 +74,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self._forget()
-        self.by_word = True
         raw = np.frombuffer(_PROBE.encode(), np.uint8)
+        self.by_word = True
         self.by_word = self._plain(_PROBE) == self.ids(raw, np.array([0, len(raw)], np.int64))[0].tolist()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        """An empty table: number of each unit, and where in the pool the ids of each number begin, with one more for the end."""
+        self.number: dict[bytes, int] = {}
+        self.begin, self.bytes = np.zeros(1 << 12, np.int64), 0
+        self.pool = np.zeros(1 << 16, np.uint32)
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for i in ids for x in i), np.uint32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        sizes, ids = self._batch(texts)
-        while self.used + len(ids) > len(self.pool):
+    def _learn(self, units: list[bytes]) -> None:
+        sizes, ids = self._batch([u.decode("utf-8", "replace") for u in units])
+        n = len(self.number)
+        while n + len(units) >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.begin[n + 1 : n + 1 + len(units)] = self.begin[n] + np.cumsum(sizes)
+        end = int(self.begin[n + len(units)])
+        while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(sizes) - sizes)
-        self.size = np.insert(self.size, where, sizes)
-        self.keys = np.insert(self.keys, where, keys)
-        self.used += len(ids)
+        self.pool[self.begin[n] : end] = ids
+        self.number.update(zip(units, range(n, n + len(units)), strict=True))
+        self.bytes += sum(map(len, units))
 
     def _known(self, buf: np.ndarray, offsets: np.ndarray):
         """Where each word's ids lie in the pool, how many there are, and the words."""
-        buf = LOWER[buf]
-        words = split_units(buf, offsets)
-        keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.keys) > self.KEEP:
+        words = split_units(LOWER[buf], offsets)
+        place, distinct = words.numbers()
+        units = distinct.to_pylist()
+        if len(self.number) > self.KEEP or self.bytes > self.KEEP_BYTES:
             self._forget()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
-        if new.any():
-            raw = buf.tobytes()
-            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first[new]], words.end[first[new]], strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        return words, self.at[at][back], self.size[at][back]
+        self._learn([u for u in units if u not in self.number])
+        number = np.fromiter((self.number[u] for u in units), np.int64, len(units))
+        return words, self.begin[number][place], (self.begin[number + 1] - self.begin[number])[place]
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of ids of each text."""

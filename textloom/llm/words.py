@@ -1,8 +1,10 @@
 """Vectorised words, hashes and n-grams over Arrow batches of whole texts.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D; on UTF-8 that equals the
-pattern ``[^\\x20\\x09-\\x0D]+``. Hashes are 64-bit: polynomial prefix sums modulo 2**64 give the
-hash of any byte or word range in constant time, and a finaliser spreads the bits.
+pattern ``[^\\x20\\x09-\\x0D]+``. Within a chunk, words and lines are numbered by their bytes, so
+equal numbers mean equal bytes. Across chunks, a word is named by 128 bits of XXH3, and a range of
+words by the names of its parts, joined pairwise by a mixing function; no sum over positions is
+involved, so exchanged or repeated parts do not cancel out.
 """
 
 from __future__ import annotations
@@ -12,49 +14,74 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C55 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse."""
-    if len(_powers[0]) <= n:
-        m = max(n + 1, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            full = np.full(m, base, U)
-            full[0] = 1
-            _powers[k] = np.cumprod(full)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
+    x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
     x ^= x >> U(31)
     return x
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One name for two names in this order."""
+    x = a * U(0x9E3779B97F4A7C15)
+    x ^= (b << U(29)) | (b >> U(35))
+    return mix(x)
+
+
 class Ranges:
-    """Hashes of ranges of a sequence of unsigned 64-bit values."""
+    """Names of ranges of a sequence, by doubling: 2**k values are named by their halves, and any other number by its first and its last 2**k."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values))
-        self.sums = np.zeros(len(values) + 1, U)
-        np.cumsum((values + U(1)) * up[:-1], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = (end - start).astype(U)
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + size * U(0xD6E8FEB86659FD93))
+        self.levels = [mix(values ^ U(0x6A09E667F3BCC909))]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(joined(last[:-half], last[half:]) if len(last) > half else last[:0])
+        return self.levels[k]
+
+    def __call__(self, start: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """The ranges of ``size`` values (one number, or one for each range) that begin at ``start``; all lie in the sequence, and none is empty."""
+        if isinstance(size, int):
+            k = size.bit_length() - 1
+            level = self._level(k)
+            name = level[start]
+            return name if size == 1 << k else joined(name ^ U(size), level[start + (size - (1 << k))])
+        out = np.empty(len(start), U)
+        for n in np.unique(size).tolist():
+            of = size == n
+            out[of] = self(start[of], n)
+        return out
+
+
+def numbered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For ranges of bytes that follow one another without overlap: the number of each among the distinct ones, and those."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    data = buf[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def names(distinct: pa.Array) -> np.ndarray:
+    """128 bits for each value, as two columns."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x) for x in distinct.to_pylist()]), U).reshape(-1, 2)
 
 
 @dataclass
@@ -72,14 +99,19 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return Ranges(self.buf.astype(U))(self.start, self.end)
+    def numbers(self) -> tuple[np.ndarray, pa.Array]:
+        return numbered(self.buf, self.start, self.end)
+
+    def values(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent names of 64 bits for each word."""
+        number, distinct = self.numbers()
+        both = names(distinct)
+        return both[number, 0], both[number, 1]
 
-    def grams(self, n: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which n words of one text begin, and the hashes of those n words."""
+    def grams(self, n: int) -> np.ndarray:
+        """Positions at which n words of one text begin."""
         at = np.arange(max(0, len(self.start) - n + 1))
-        at = at[self.doc[at] == self.doc[at + n - 1]]
-        return at, Ranges(values)(at, at + n)
+        return at[self.doc[at] == self.doc[at + n - 1]]
 
 
 def split_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
