@@ -49,6 +49,7 @@ HEAD = LEAST - RUN + 1
 REPEATED, EARLIER, OPEN = 1, 2, 4
 _SUFFIX = "head long, around long, doc long, key long, pos int, left int, near int"
 _MET = "head long, doc long, key long, pos int, left int, near int, kind int"
+_SPANS = "doc long, key long, repeats array<struct<lo:bigint,hi:bigint>>, cuts array<struct<lo:bigint,hi:bigint>>"
 _WINDOW = "head long, name long, doc long, key long, start int"
 
 
@@ -136,19 +137,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(head[row]), pa.array(name.view(np.int64)), *(batch.column(c).slice(lo, hi - lo).take(take) for c in ("doc", "key")), pa.array(start, pa.int32())], ["head", "name", "doc", "key", "start"])
 
 
-def merged_spans(starts: Column) -> Column:
-    """Maximal spans, in words, of the windows that begin in those ranges (lo to hi)."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text, maximal spans in words of the windows that begin in its ranges (lo to hi), and of those among them that are cuts."""
 
-    def merge(ranges):
-        out: list[dict] = []
-        for r in sorted((r["lo"], r["hi"]) for r in ranges):
-            if out and r[0] <= out[-1]["hi"]:
-                out[-1]["hi"] = max(out[-1]["hi"], r[1] + LEAST)
-            else:
-                out.append({"lo": r[0], "hi": r[1] + LEAST})
-        return out
+    def lists(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> pa.Array:
+        order = np.lexsort((lo, text))
+        text, lo, hi = text[order], lo[order].astype(np.int64), hi[order].astype(np.int64) + LEAST
+        # Ends so far, in one running maximum over all texts: each text's are lifted over those of the texts before it.
+        lift = text * (int(hi.max(initial=0)) + 1)
+        reach = np.maximum.accumulate(hi + lift) - lift
+        begins = np.ones(len(lo), bool)
+        begins[1:] = (text[1:] != text[:-1]) | (lo[1:] > reach[:-1])
+        at = np.flatnonzero(begins)
+        last = np.append(at[1:], len(lo)) - 1 if len(at) else at
+        spans = pa.StructArray.from_arrays([pa.array(lo[at]), pa.array(reach[last])], ["lo", "hi"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[at], np.arange(n + 1)), pa.int32()), spans)
 
-    return F.udf(merge, "array<struct<lo:bigint,hi:bigint>>", useArrow=True)(starts)
+    for batch in batches:
+        ranges = batch.column("ranges")
+        text = ranges.value_parent_indices().to_numpy()
+        lo, hi, cut = (f.to_numpy(zero_copy_only=False) for f in ranges.flatten().flatten())
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), lists(text, lo, hi, n), lists(text[cut], lo[cut], hi[cut], n)], ["doc", "key", "repeats", "cuts"])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -179,15 +189,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     some = found.select("doc", "key", F.col("start").alias("lo"), F.col("start").alias("hi"), (place != F.col("first")).alias("cut"))
     whole = met.where(F.col("kind").bitwiseAND(F.lit(REPEATED)) != 0).select("doc", "key", (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") - F.col("near")).alias("hi"), (F.col("kind").bitwiseAND(F.lit(EARLIER)) != 0).alias("cut"))
-    span = F.struct(F.col("lo"), F.col("hi"))
-    lists = some.unionAll(whole).groupBy("doc", "key").agg(F.collect_set(span).alias("repeats"), F.collect_set(F.when(F.col("cut"), span)).alias("cuts"))
-    return scratch.keep(lists.select("doc", "key", merged_spans(F.col("repeats")).alias("repeats"), merged_spans(F.col("cuts")).alias("cuts")), "spans")
+    lists = some.unionAll(whole).groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "hi", "cut")).alias("ranges"))
+    return scratch.keep(lists.mapInArrow(_merged, _SPANS), "spans")
 
 
 def document_spans(docs: DataFrame) -> DataFrame:
     """doc_id, kind, start_word, end_word: maximal repeated spans (kind repeat) and their parts that occurred earlier (kind cut)."""
-    listed = [F.transform(column, lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s["lo"].alias("lo"), s["hi"].alias("hi"))) for column, kind in (("repeats", "repeat"), ("cuts", "cut"))]
-    rows = repeated_spans(docs).select(F.col("doc").alias("doc_id"), F.explode(F.concat(*listed)).alias("s"))
+    def listed(column: str, kind: str) -> Column:
+        return F.transform(column, lambda s: F.struct(F.lit(kind).alias("kind"), s["lo"].alias("lo"), s["hi"].alias("hi")))
+
+    rows = repeated_spans(docs).select(F.col("doc").alias("doc_id"), F.explode(F.concat(listed("repeats", "repeat"), listed("cuts", "cut"))).alias("s"))
     return rows.select("doc_id", "s.kind", F.col("s.lo").alias("start_word"), F.col("s.hi").alias("end_word")).distinct()
 
 
