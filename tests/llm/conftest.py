@@ -41,3 +41,12 @@ def odd(spark):
     rows = [(None, None, None, None, 1, "x"), (None, "a b c", "en", "s1", 2, "y"), (1, None, None, "s1", 3, None), (2, "a b c", None, None, None, "z"), (2, "a b c", None, None, None, "z"), (2, "", "fr", "s2", 5, "w")]
     schema = "doc_id long, text string, lang string, source string, n long, key string"
     return spark.createDataFrame(rows, schema).withColumnsRenamed({"n": "n_words", "key": "row"})
+
+
+@pytest.fixture(scope="session")
+def clashing(docs):
+    """The corpus with further columns, named as the operators' own helpers are."""
+    from pyspark.sql import functions as F
+
+    names = ["measures", "rule_measure_n_words", "fail_bits", "gone_id", "gone", "key", "at", "cid", "spans", "cut_spans_", "cuts", "doc", "tokens_taken", "tokens_taken_", "n_tokens", "n_tokens_", "text_", "row", "domain", "whole_", "rest_", "range_", "edge_", "epoch", "group_", "shard", "slot", "lines", "digest", "form_digest", "length", "size", "kept", "score", "lang_pred"]
+    return docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])

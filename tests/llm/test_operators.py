@@ -472,5 +472,16 @@ def test_empty_and_odd(odd, name):
         assert len(rows) == 6
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_columns(docs, clashing, name):
+    """Further columns change nothing, whatever their names, and are carried where columns are."""
+    plain, more = OPERATORS[name](docs), OPERATORS[name](clashing)
+    if name in ("filter", "drop_near", "cut", "mix"):
+        assert more.columns == clashing.columns
+        more = more.select(*docs.columns)
+    same = [c for c in plain.columns if c not in ("sequence_id", "offset")]
+    assert sorted(map(repr, plain.select(same).collect())) == sorted(map(repr, more.select(same).collect()))
+
+
 def test_media_empty(spark):
     assert media.copies(spark.createDataFrame([], "id long, height int, width int, data binary")).collect() == []

@@ -12,7 +12,8 @@ ranges of the order, so that only the one range in which the prefix ends is put
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. Documents without tokens (null or empty text) supply
 nothing and are never selected. A null level is the node ``(null)``; a null doc_id orders as the
-empty string. Repeated rows supply their tokens each time; equal ones are interchangeable. An
+empty string. Columns other than doc_id, text and those of the levels are carried, whatever their
+names. Repeated rows supply their tokens each time; equal ones are interchangeable. An
 empty table gives an empty selection.
 """
 
@@ -27,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import Scratch, whole_text
-from .words import split_words
+from .shared import Scratch
+from .words import split_words, text_chunks
 
 RANGE_ROWS = 1024
-#: Up to so many leaves the plan, one row of about 100 bytes each, is broadcast.
-BROADCAST_LEAVES = 50_000
+#: Up to so many leaves the plan, one row of about 100 bytes each, is broadcast; beyond the second number there is no plan, but an error.
+BROADCAST_LEAVES, LEAVES = 50_000, 1_000_000
 LEVELS = ("domain", "lang", "source")
 
 
@@ -89,49 +90,74 @@ def allocate(supply: dict[tuple[str, ...], int], mix: Mix, levels: tuple[str, ..
     return got
 
 
-def n_tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def _counter(text, names: list[str]):
+    """Adds n_tokens, the words of the text that ``text`` finds in a batch, and keeps rows that have any."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [split_words(buf, offsets).counts for _, _, buf, offsets in text_chunks(text(batch))]
+            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64())], [*names, "n_tokens"]).filter(pa.array(n > 0))
+
+    return count
+
+
+class _Budget:
+    """The plan of a mix over some documents: tokens of each, whole epochs and the rest of each leaf, and where the rest ends."""
+
+    def __init__(self, docs: DataFrame, levels: dict[str, Column], mix: Mix):
+        spark = docs.sparkSession
+        scratch = Scratch(spark)
+        self.mix, self.names = mix, list(levels)
+        self.base = [F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("(null)")).alias(n) for n, c in levels.items()]]
+        names = self.names
+        texts = docs.select(*self.base, F.col("text").cast("string").alias("text_"))
+        held = texts.columns[:-1]
+        self.schema = StructType([*texts.schema.fields[:-1], StructField("n_tokens", LongType())])
+        self.counted = scratch.write(texts.mapInArrow(_counter(lambda batch: batch.column("text_"), held), self.schema), "counted")
+        n_leaves = self.counted.select(*names).distinct().count()
+        if n_leaves > LEAVES:
+            raise ValueError(f"{n_leaves} leaves: the levels have to name at most {LEAVES}")
+        # One row for each leaf of the tree, whose nodes the caller weighs: at most LEAVES.
+        leaves = self.counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
+        supply = {tuple(x[n] for n in names): x["tokens"] for x in leaves}
+        got = allocate(supply, mix, tuple(names))
+        plan = [(*path, int(got.get(path, 0) // supply[path]), int(got.get(path, 0) % supply[path]), max(1, -(-x["docs"] // RANGE_ROWS))) for x in leaves for path in [tuple(x[n] for n in names)] if got.get(path, 0)]
+        self.small = F.broadcast if len(plan) <= BROADCAST_LEAVES else lambda df: df
+        self.plan = self.small(spark.createDataFrame(plan, ", ".join(f"`{n}` string" for n in names) + ", whole_ long, rest_ long, ranges_ long"))
+        sums = self._placed(self.counted).where("rest_ > 0").groupBy(*names, "range_").agg(F.sum("n_tokens").alias("t"), F.first("rest_").alias("rest_"))
+        before = Window.partitionBy(*names).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+        edge = sums.withColumn("before_", F.coalesce(F.sum("t").over(before), F.lit(0))).where("before_ < rest_ and before_ + t >= rest_").select(*names, F.col("range_").alias("edge_"), "before_")
+        self.edge = scratch.write(edge, "edge")  # one row for each leaf
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        key = F.md5(F.concat(F.lit(f"{self.mix.seed}:"), F.col("whole_").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        rows = rows.join(self.plan, self.names).withColumn("key_", key)
+        return rows.withColumn("range_", F.floor(F.conv(F.substring("key_", 1, 8), 16, 10).cast("double") * F.col("ranges_") / float(1 << 32)))
 
-def select(docs: DataFrame, levels: dict[str, Column], mix: Mix, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the levels, epoch, n_tokens, tokens_taken, and the carried columns, packed in a struct ``row``.
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """rows with base's columns get the whole epochs of their leaf, the place in its order, and the range in which the rest ends."""
+        return self._placed(rows).join(self.small(self.edge), self.names, "left")
 
-    docs are read once for the tokens and, if columns are carried, once more for each part of the result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    names = list(levels)
-    named = [F.coalesce(c.cast("string"), F.lit("(null)")).alias(n) for n, c in levels.items()]
-    text = whole_text(F.col("text").cast("string"))
-    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
-    base = [F.col("doc_id").cast("long").alias("doc_id"), *named, n_tokens(text).alias("n_tokens")]
-    counted = scratch.write(docs.select(*base).where("n_tokens > 0"), "counted")
-    # One row for each leaf of the tree, whose nodes the caller weighs: bounded by the configuration, not by the documents.
-    leaves = counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
-    supply = {tuple(x[n] for n in names): x["tokens"] for x in leaves}
-    got = allocate(supply, mix, tuple(names))
-    plan = [(*path, int(got.get(path, 0) // supply[path]), int(got.get(path, 0) % supply[path]), max(1, -(-x["docs"] // RANGE_ROWS))) for x in leaves for path in [tuple(x[n] for n in names)] if got.get(path, 0)]
-    small = F.broadcast if len(plan) <= BROADCAST_LEAVES else lambda df: df
-    planned = small(spark.createDataFrame(plan, ", ".join(f"`{n}` string" for n in names) + ", whole_ long, rest_ long, ranges_ long"))
-
-    def placed(rows: DataFrame) -> DataFrame:
-        key = F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("whole_").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        rows = rows.join(planned, names).withColumn("key_", key)
-        return rows.withColumn("range_", F.floor(F.conv(F.substring("key_", 1, 8), 16, 10).cast("double") * F.col("ranges_") / float(1 << 32)))
+    def full(self, marked: DataFrame) -> DataFrame:
+        """A row for each epoch that takes a document whole."""
+        epochs = F.col("whole_") + (F.col("range_") < F.coalesce("edge_", F.lit(-1))).cast("long")
+        return marked.where(epochs > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
 
-    sums = placed(counted).where("rest_ > 0").groupBy(*names, "range_").agg(F.sum("n_tokens").alias("t"), F.first("rest_").alias("rest_"))
-    before = Window.partitionBy(*names).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("before_", F.coalesce(F.sum("t").over(before), F.lit(0))).where("before_ < rest_ and before_ + t >= rest_").select(*names, F.col("range_").alias("edge_"), "before_")
-    edge = scratch.write(edge, "edge")  # one row for each leaf
-    rows = docs.select(*base, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")).where("n_tokens > 0") if carry else counted
-    marked = placed(rows).join(small(edge), names, "left")
-    out = ["doc_id", *names, "epoch", "n_tokens", "tokens_taken", *(["row"] if carry else [])]
-    epochs = F.col("whole_") + (F.col("range_") < F.coalesce("edge_", F.lit(-1))).cast("long")
-    full = marked.where(epochs > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1))).withColumn("tokens_taken", F.col("n_tokens"))
-    order = Window.partitionBy(*names).orderBy("key_", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = marked.where("range_ = edge_").withColumn("start_", F.col("before_") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("start_ < rest_")
-    last = last.withColumn("epoch", F.col("whole_")).withColumn("tokens_taken", F.least("n_tokens", F.col("rest_") - F.col("start_")))
-    return full.select(*out).unionAll(last.select(*out))
+    def last(self, marked: DataFrame) -> DataFrame:
+        """marked rows of the ranges in which a rest ends, with n_tokens: those within the rest, with epoch and tokens_taken."""
+        order = Window.partitionBy(*self.names).orderBy("key_", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+        rows = marked.withColumn("start_", F.col("before_") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("start_ < rest_")
+        return rows.withColumn("epoch", F.col("whole_")).withColumn("tokens_taken", F.least("n_tokens", F.col("rest_") - F.col("start_")))
+
+
+def select(docs: DataFrame, levels: dict[str, Column], mix: Mix) -> DataFrame:
+    """doc_id, the levels, epoch, n_tokens, tokens_taken of each document and epoch. Texts are read once, for their tokens."""
+    budget = _Budget(docs, levels, mix)
+    marked = budget.marked(budget.counted)
+    out = ["doc_id", *budget.names, "epoch", "n_tokens", "tokens_taken"]
+    full = budget.full(marked).withColumn("tokens_taken", F.col("n_tokens"))
+    return full.select(*out).unionAll(budget.last(marked.where("range_ = edge_")).select(*out))
 
 
 def _prefix(names: list[str]):
@@ -139,8 +165,8 @@ def _prefix(names: list[str]):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[: len(names)])
-            taken, size = batch.column("tokens_taken_").to_numpy(), batch.column("n_tokens_").to_numpy()
+            columns = batch.column("row").flatten()
+            taken, size = batch.column("tokens_taken").to_numpy(), batch.column("n_tokens").to_numpy()
             short = np.flatnonzero(taken < size)
             if len(short):
                 texts = columns[text_at].to_pylist()
@@ -160,11 +186,18 @@ def _prefix(names: list[str]):
 
 
 def mix_documents(docs: DataFrame, levels: dict[str, Column], mix: Mix) -> DataFrame:
-    """The selected documents with their columns, once for each epoch; a leaf's last document is cut where its budget ends."""
-    names = docs.columns
-    rows = select(docs, levels, mix, carry=names)
-    rows = rows.select("row.*", F.col("tokens_taken").alias("tokens_taken_"), F.col("n_tokens").alias("n_tokens_"))
-    return rows.mapInArrow(_prefix(names), StructType(docs.schema.fields))
+    """The selected documents with their columns, once for each epoch; a leaf's last document is cut where its budget ends.
+
+    Only the documents of the ranges in which a budget ends are counted again; the others pass as they are.
+    """
+    budget = _Budget(docs, levels, mix)
+    rows = budget.marked(docs.select(*budget.base, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    full = budget.full(rows.where(F.col("row")["text"].cast("string").rlike(r"[^\x20\x09-\x0D]"))).select("row.*")
+    ends = rows.where("range_ = edge_")
+    text_at = docs.columns.index("text")
+    counted = ends.mapInArrow(_counter(lambda batch: batch.column("row").field(text_at).cast(pa.string()), ends.columns), StructType([*ends.schema.fields, StructField("n_tokens", LongType())]))
+    last = budget.last(counted).select("row", "tokens_taken", "n_tokens").mapInArrow(_prefix(docs.columns), StructType(docs.schema.fields))
+    return full.unionAll(last)
 
 
 def document_levels() -> dict[str, Column]:
