@@ -201,14 +201,43 @@ def test_mixing_ranges(docs, monkeypatch):
     assert sorted(map(tuple, mixing.select(docs, mixing.document_levels(), mixing.PRODUCTION).collect()), key=repr) == once
 
 
-def test_packing(docs, corpus, tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP", 64)
-    rows = packing.pack_documents(docs).toPandas()
-    expected = sorted((d, *p) for d, t, *_ in corpus for p in pieces(t, tokenizer))
-    assert sorted(map(tuple, rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].to_numpy().tolist())) == expected
-    for _, part in rows.groupby("sequence_id"):
-        part = part.sort_values("offset")
-        assert part.offset.tolist() == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 2048 and len(part) <= packing.SEGMENTS
+def test_packing(docs, corpus, tokenizer):
+    for group in (16_384, 20):
+        rows = packing.pack_documents(docs, group=group).toPandas()
+        expected = sorted((d, *p) for d, t, *_ in corpus for p in pieces(t, tokenizer))
+        assert sorted(map(tuple, rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].to_numpy().tolist())) == expected
+        for _, part in rows.groupby("sequence_id"):
+            part = part.sort_values("offset")
+            assert part.offset.tolist() == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 2048 and len(part) <= packing.SEGMENTS
+        assert len(set(rows.sequence_id // 2**32)) == (1 if group > 20 else -(-len(rows) // 20))
+
+
+def test_equal_rows_are_dealt(spark):
+    docs = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    rows = packing.pack_documents(docs, group=1000).withColumn("g", F.shiftright("sequence_id", 32)).groupBy("g").count().collect()
+    assert len(rows) == 60 and max(r["count"] for r in rows) < 1300 and sum(r["count"] for r in rows) == 60_000
+
+
+def test_packing_conversations(spark, tokenizer):
+    r = random.Random(5)
+    words_ = vocabulary(4)
+    turns = [(c, t, "assistant" if t % 2 else "user", " ".join(r.choices(words_, k=r.choice([3, 20, 90])))) for c in range(150) for t in range(r.randint(1, 7))]
+    turns += [(900, 0, "user", None), (900, 1, "assistant", " ".join(r.choices(words_, k=3000))), (901, 0, None, "x"), (None, None, None, None)]
+    count = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    streams = {}
+    for c, _, role, t in sorted(turns, key=lambda x: (x[0] is None, x[0], x[1])):
+        streams.setdefault(c, []).extend([role == "assistant"] * count(t))
+    expected = sorted(((c, a, len(s[a : a + 512]), min(200, sum(s[a : a + 512]))) for c, s in streams.items() for a in range(0, len(s), 512)), key=repr)
+    rows = packing.pack_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), length=512, segments=6, loss_limit=200).collect()
+    assert sorted(((x.conv_id, x.start, x.length, x.loss_tokens) for x in rows), key=repr) == expected
+    bins = {}
+    for x in rows:
+        bins.setdefault(x.sequence_id, []).append(x)
+    sums = [(sum(x.length for x in b), len(b), sum(x.loss_tokens for x in b)) for b in bins.values()]
+    assert all(n <= 512 and k <= 6 and l <= 200 for n, k, l in sums)
+    least = max(sum(x.length for x in rows) / 512, sum(x.loss_tokens for x in rows) / 200)
+    assert len(bins) <= 1.25 * least and any(l == 200 or l > 180 for _, _, l in sums)  # the third limit binds
+    assert packing.pack_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
 def test_vector_packing():
@@ -230,7 +259,11 @@ def test_encoder(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens.Encoder, "KEEP", 5)
     tool = tokens.Encoder(tokens.default_tokenizer())
     assert tool.by_word
-    texts = ["Hello, WORLD's 3.14\x1cx", "", "á ́b <|endoftext|>", "naïve café　x", "ﬁ Σς"] * 3
+    odd = [f"{c}. 1{c}{c}x {c}_ .{c}'s {c}" for c in map(chr, range(0xC0, 0x180))]
+    r = random.Random(9)
+    letters = [*map(chr, range(0x21, 0x250)), *"  \n\t'", "\u0301", "\u4e2d", "\ufb01", "\u0130", "\u0130"]
+    odd += ["".join(r.choices(letters, k=30)) for _ in range(500)]
+    texts = ["Hello, WORLD's 3.14\x1cx", "", "á ́b <|endoftext|>", "naïve café　x", "ﬁ Σς"] * 3 + odd
     raw = "".join(texts).encode()
     buf, offsets = np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
     expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -2,10 +2,13 @@
 
 Documents are counted by encoded length, first within each batch, then in Spark. Suffix sums over
 the histogram answer totals, quantiles and truncated totals for every context limit without
-another look at the documents. They are formed in two levels (blocks of lengths, then lengths
-within a block), so that no task has to order all lengths.
+another look at the documents: the histogram is written first, a row for each length that occurs.
+They are formed in two levels (blocks of lengths, then lengths within a block), so that no task has to
+order all lengths; a single task orders the blocks, of which there are as many as the longest text has
+multiples of 256 ids.
 
-Null text and text without words have length 0. Repeated rows count each time. An empty table
+Texts are encoded whole, also very long ones. Null text and text without words have length 0. Documents
+of equal length share a row. Repeated rows count each time. An empty table
 gives an empty histogram. Only the text column is read.
 """
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bound_batches
+from .shared import Scratch, bound_batches
 from .tokens import default_tokenizer, encoder
 from .words import text_chunks
 
@@ -27,8 +30,8 @@ BLOCK = 256
 
 def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """length, n_docs."""
-
     bound_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:
@@ -75,4 +78,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer()))
+    counted = histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
+    return suffix_sums(Scratch(spark).write(counted, "histogram"))

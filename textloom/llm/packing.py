@@ -6,13 +6,18 @@ vector has the greatest dot product with the sequence's remaining capacity goes
 al., "Heuristics for Vector Bin Packing", 2011). Examples of equal demands are interchangeable, so
 a step scans the distinct demands, not the examples.
 
-Examples are dealt by hash into groups of bounded size, and each group is packed alone; padding
-arises only at a group's end. A document longer than a sequence is cut into whole sequences and
+Examples are dealt by hash into groups of about equal size, and each group is packed alone; padding
+arises only at a group's end. The hash takes in the row's place in the written table, so that equal
+rows are dealt as evenly as others. A document longer than a sequence is cut into whole sequences and
 one rest, and only the rest competes for space.
 
-Null text is an empty text, whose only id is the end id. A null doc_id is carried through. Ties go
-to the greater token count, then the order of doc_id and start. Repeated rows are packed each
-time. An empty table gives an empty result. Other columns are not looked at.
+All ids of a plain document bear loss, so there only tokens and segments limit. In instruction data
+(pack_conversations) only the ids of the assistant's turns do, and the third limit binds.
+
+Texts are encoded whole, also very long ones. Null text is an empty text, whose only id is the end id.
+A null doc_id is carried through. Ties go to the greater token count, then the order of doc_id and
+start. Repeated rows are packed each time. An empty table gives an empty result. Other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
@@ -102,18 +107,60 @@ def pack_pieces(rows: DataFrame, length: int = LENGTH, segments: int = SEGMENTS,
     limit = loss_limit or length
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([c for c in ("doc_id", "start", "ids_crc32") if c in part], kind="stable").reset_index(drop=True)
+        part = part.sort_values([c for c in ("doc_id", "conv_id", "start", "ids_crc32") if c in part], kind="stable").reset_index(drop=True)
         where, offset, _ = pack(part["length"].to_numpy(), part[loss].to_numpy(), length, segments, limit)
         return part[columns].assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    dealt = rows.withColumn("group_", F.pmod(F.xxhash64(*columns), F.lit(groups)))
+    dealt = rows.withColumn("group_", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group_").applyInPandas(one, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, group: int = GROUP) -> DataFrame:
     cut = Scratch(docs.sparkSession).write(pieces(docs, tokenizer or default_tokenizer()), "pieces")
-    return pack_pieces(cut)
+    return pack_pieces(cut, group=group)
+
+
+def turn_tokens(turns: DataFrame, tokenizer: str, role: str = "assistant") -> DataFrame:
+    """conv_id, turn, tokens (with an end id) and loss_tokens (those of the given role) of each turn."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(tokenizer)
+        for batch in batches:
+            sizes = [tool.counts(buf, offsets) for _, _, buf, offsets in text_chunks(batch.column(3))]
+            tokens = (np.concatenate(sizes) if sizes else np.zeros(0, np.int64)) + 1
+            own = np.array(batch.column(2).fill_null(False).to_pylist(), bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(np.where(own, tokens, 0))], ["conv_id", "turn", "tokens", "loss_tokens"])
+
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), (F.col("role") == role).alias("own"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(count, "conv_id long, turn long, tokens long, loss_tokens long")
+
+
+def conversation_pieces(turns: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
+    """conv_id, start, length, loss_tokens: conversations, their turns in order, cut at multiples of the length.
+
+    Turns are only counted, and running sums place them, so no conversation's text is gathered. Equal
+    turn numbers follow their counts; a null conv_id is one conversation.
+    """
+    counted = Scratch(turns.sparkSession).write(turn_tokens(turns, tokenizer), "turns")
+    order = Window.partitionBy("conv_id").orderBy("turn", "tokens", "loss_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("at", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    last = F.floor((F.col("at") + F.col("tokens") - 1) / length)
+    parts = placed.withColumn("piece", F.explode(F.sequence(F.floor(F.col("at") / length), last)))
+    inside = F.least(F.col("at") + F.col("tokens"), (F.col("piece") + 1) * length) - F.greatest(F.col("at"), F.col("piece") * length)
+    summed = parts.groupBy("conv_id", "piece").agg(F.sum(inside).alias("length"), F.sum(F.when(F.col("loss_tokens") > 0, inside).otherwise(F.lit(0))).alias("loss_tokens"))
+    return summed.select("conv_id", (F.col("piece") * length).cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.col("loss_tokens").cast("long").alias("loss_tokens"))
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str | None = None, length: int = LENGTH, segments: int = 16, loss_limit: int = LENGTH * 3 // 4, group: int = GROUP) -> DataFrame:
+    """Pieces of conversations in sequences, each with at most so many ids, segments and ids of the assistant.
+
+    A piece that has more loss-bearing ids than the limit stands alone, its surplus without loss: its
+    loss_tokens are cut to the limit.
+    """
+    rows = conversation_pieces(turns, tokenizer or default_tokenizer(), length)
+    rows = rows.withColumn("loss_tokens", F.least("loss_tokens", F.lit(loss_limit)))
+    return pack_pieces(Scratch(turns.sparkSession).write(rows, "pieces"), length, segments, loss_limit, "loss_tokens", group)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
