@@ -10,12 +10,12 @@ PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 def raw_tokens(text: Column) -> Column:
     """Maximal runs of ASCII letters, case kept. Null text has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z]+)"), 1)
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z]+"), "")
 
 
 def alpha_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters; runs are found first, so letters that fold to ASCII don't join them."""
-    return F.transform(raw_tokens(text), lambda t: F.lower(t))
+    return F.array_remove(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]+", " ")), " "), "")
 
 
 def basic_tokens(text: Column) -> Column:

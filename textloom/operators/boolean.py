@@ -8,6 +8,7 @@ after ``or``. Whenever the result so far is empty, the next operand replaces it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,8 @@ def evaluate(index: Index, query: str) -> DataFrame:
 
     Each document is reduced to the pattern of query terms that it holds. Whether a result is empty
     is a question about patterns, of which there are at most 2 to the number of terms, so the steps
-    are decided on the few patterns that occur, and the documents are filtered once.
+    are decided in one row that holds the patterns that occur, and the documents are filtered by it, all
+    in one job.
     """
     steps = parse(query)
     terms = list(dict.fromkeys(s.term for s in steps))
@@ -74,22 +76,28 @@ def evaluate(index: Index, query: str) -> DataFrame:
     for k, term in enumerate(terms):
         bit = F.when(F.col("term") == term, F.lit(1 << k).cast("long")).otherwise(bit)
     held = index.postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.bit_or(bit).alias("pattern"))
-    docs = index.docs.select("doc_id").distinct().join(held, "doc_id", "left").select("doc_id", F.coalesce("pattern", F.lit(0).cast("long")).alias("pattern"))
-    every = {row[0] for row in docs.select("pattern").distinct().collect()}
-    result: set[int] = set()
+    docs = index.docs.select("doc_id").join(held, "doc_id", "left").select("doc_id", F.coalesce("pattern", F.lit(0).cast("long")).alias("pattern"))
+    result = F.array().cast("array<bigint>")
+    decided = docs.agg(F.collect_set("pattern").alias("every")).withColumn("result", result)  # one row
     for step in steps:
-        k = terms.index(step.term)
-        operand = {p for p in every if bool(p >> k & 1) != step.negated}
-        if not result:
-            result = operand
-        else:
-            result = result | operand if step.added else result & operand
-    return docs.where(F.col("pattern").isin(sorted(result))).select("doc_id") if result else docs.select("doc_id").limit(0)
+        one = F.lit(1 << terms.index(step.term)).cast("long")
+        operand = _having("every", one, step.negated)
+        combined = F.array_union("result", operand) if step.added else F.array_intersect("result", operand)
+        decided = decided.withColumn("result", F.when(F.size("result") == 0, operand).otherwise(combined))
+    return docs.join(F.broadcast(decided.select("result"))).where(F.array_contains("result", F.col("pattern"))).select("doc_id")
+
+
+def _having(patterns: str, bit, negated: bool):
+    """The patterns with that bit, or without it."""
+    if negated:
+        return F.filter(patterns, lambda p: p.bitwiseAND(bit) == 0)
+    return F.filter(patterns, lambda p: p.bitwiseAND(bit) != 0)
 
 
 def explain_query(index: Index, query: str) -> DataFrame:
-    """part, doc_id: the postings of each term of the query, then the result."""
-    rows = evaluate(index, query).select(F.lit("result").alias("part"), "doc_id")
-    for term in dict.fromkeys(s.term for s in parse(query)):
-        rows = index.postings.where(F.col("term") == term).select(F.lit(term).alias("part"), "doc_id").unionByName(rows)
-    return rows
+    """part, doc_id: the universe if the query begins with not, the postings of each term, then the result."""
+    steps = parse(query)
+    parts = [index.postings.where(F.col("term") == term).select(F.lit(term).alias("part"), "doc_id") for term in dict.fromkeys(s.term for s in steps)]
+    if steps and steps[0].negated:
+        parts.insert(0, index.docs.select(F.lit("universe").alias("part"), "doc_id"))
+    return reduce(DataFrame.unionByName, [*parts, evaluate(index, query).select(F.lit("result").alias("part"), "doc_id")])

@@ -6,14 +6,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..config import Analyzer
+from ..functions.runs import counter, measurer
 from ..functions.stem import stem_vocabulary
 from ..functions.stopwords import default_stop_words
 from ..functions.text import tokens
 
 
-def _stops(config: Analyzer) -> list[str]:
+def stop_words(config: Analyzer) -> list[str]:
+    """The stop words of a configuration: its own, or the default ones."""
     return list(config.words) if config.words is not None else default_stop_words()
 
 
@@ -24,7 +27,7 @@ def analyzed(docs: DataFrame, config: Analyzer) -> DataFrame:
     """
     terms = tokens(F.col("text"), config.tokenizer)
     if config.stop:
-        stops = F.array(*map(F.lit, _stops(config)))
+        stops = F.array(*map(F.lit, stop_words(config)))
         terms = F.filter(terms, lambda t: ~F.array_contains(stops, t))
     return docs.withColumn("terms", terms)
 
@@ -34,29 +37,45 @@ def occurrences(docs: DataFrame, config: Analyzer) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.explode(tokens(F.col("text"), config.tokenizer)).alias("term"))
     if config.stop:
-        stops = spark.createDataFrame([(w,) for w in _stops(config)], "term string")
+        stops = spark.createDataFrame([(w,) for w in stop_words(config)], "term string")
         rows = rows.join(F.broadcast(stops), "term", "left_anti")  # the list is part of the configuration
     return rows.select("doc_id", "term")
 
 
 def term_frequencies(docs: DataFrame, config: Analyzer) -> DataFrame:
-    """term, doc_id, tf. Stemming happens once for each distinct term, after the first count."""
-    counted = occurrences(docs, config).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    if not config.stem:
-        return counted
+    """term, doc_id, tf. doc_id is unique, so alphabetic terms are counted where a text is read, without a shuffle.
+
+    Stemming happens once for each distinct term, after the first count.
+    """
+    if config.tokenizer == "alpha":
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        schema = StructType([StructField("term", StringType()), rows.schema["doc_id"], StructField("tf", LongType())])
+        counted = rows.mapInArrow(counter(stop_words(config) if config.stop else []), schema)
+    else:
+        counted = occurrences(docs, config).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return stemmed(counted) if config.stem else counted
+
+
+def stemmed(counted: DataFrame) -> DataFrame:
+    """term, doc_id, tf of the stems, from those of the words."""
     stems = stem_vocabulary(counted.select("term"))
     return counted.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
 
 
 @dataclass
 class Index:
-    """An index of one collection under one configuration; doc_id identifies a document."""
+    """An index of one collection under one configuration; doc_id identifies a document.
+
+    docs has doc_id and dl, postings term, doc_id and tf. A kept or saved index has df and dl with each
+    posting and the collection's scalars as numbers, so that a query is a scan of its terms' postings.
+    """
 
     docs: DataFrame
     postings: DataFrame
     config: Analyzer
     kept: list[DataFrame] = field(default_factory=list)
     parts: int | None = None
+    totals: tuple[int, int] | None = None
 
     def postings_for(self, terms: list[str]) -> DataFrame:
         """The postings of some terms; of a saved index only the folders that can hold them are read."""
@@ -80,9 +99,32 @@ class Index:
             "avg_doc_length", F.when(F.col("doc_count") > 0, F.col("total_terms") / F.col("doc_count")).otherwise(F.lit(0.0))
         )
 
+    def with_scalars(self, rows: DataFrame) -> DataFrame:
+        """rows with doc_count and avg_doc_length: numbers if they are known, else a broadcast of one row."""
+        if self.totals is None:
+            return rows.join(F.broadcast(self.scalars.select("doc_count", "avg_doc_length")))
+        n, total = self.totals
+        return rows.withColumns({"doc_count": F.lit(n).cast("long"), "avg_doc_length": F.lit(total / n if n else 0.0)})
+
+    def complete(self) -> DataFrame:
+        """The postings with df and dl."""
+        return self.postings.join(self.terms, "term").join(self.docs, "doc_id").select("term", "doc_id", "tf", "df", "dl")
+
     def persist(self) -> "Index":
-        """Keep docs and postings, for several queries over one index."""
-        self.kept = [self.docs.persist(), self.postings.persist()]
+        """Keep docs and postings, for several queries over one index.
+
+        Postings are kept by document, so that scores are summed up where they are; within a partition
+        they are ordered by term, so that a query passes over the blocks without its terms. All is
+        computed here, as only then does a plan know how the postings lie.
+        """
+        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        docs = self.docs.persist()
+        row = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long")).first()
+        self.totals = (row[0], row[1])
+        plain, self.docs = self.postings, docs
+        self.postings = Index(docs, plain, self.config).complete().repartition(n, "doc_id").sortWithinPartitions("term").persist()
+        self.postings.count()
+        self.kept = [docs, self.postings]
         return self
 
     def release(self) -> None:
@@ -93,6 +135,9 @@ class Index:
 
 def document_lengths(docs: DataFrame, config: Analyzer) -> DataFrame:
     """doc_id, dl: the number of terms; documents without terms have 0."""
+    if config.tokenizer == "alpha":
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        return rows.mapInArrow(measurer(stop_words(config) if config.stop else []), StructType([rows.schema["doc_id"], StructField("dl", LongType())]))
     return analyzed(docs, config).select("doc_id", F.size("terms").cast("long").alias("dl"))
 
 
@@ -106,25 +151,28 @@ def _part(parts: int) -> Column:
 
 
 def save_index(index: Index, path: str, parts: int = 256) -> None:
-    """Writes docs and postings as Parquet, the postings in folders by the hash of their term.
+    """Writes docs, scalars and postings (with df and dl) as Parquet, the postings in folders by the hash of their term.
 
     Rebalancing sends a part's postings to as many files as its size asks for, so that a term that is
     in every document takes no single task.
     """
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    rows = index.postings.select("term", "doc_id", "tf", _part(parts))
+    docs = index.docs.sparkSession.read.parquet(f"{path}/docs")
+    index.scalars.write.mode("overwrite").parquet(f"{path}/scalars")
+    rows = Index(docs, index.postings.select("term", "doc_id", "tf"), index.config).complete().withColumn("part", _part(parts))
     rows.hint("rebalance", "part").sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
 
 
 def load_index(spark: SparkSession, path: str, config: Analyzer = Analyzer(), parts: int = 256) -> Index:
     """A saved index; config and parts are those that it was saved with."""
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), config, parts=parts)
+    row = spark.read.parquet(f"{path}/scalars").first()
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), config, parts=parts, totals=(row["doc_count"], row["total_terms"]))
 
 
 def add_documents(index: Index, docs: DataFrame) -> Index:
     """The index with further documents, whose ids are new."""
     more = build_index(docs, index.config)
-    return Index(index.docs.unionByName(more.docs), index.postings.unionByName(more.postings), index.config)
+    return Index(index.docs.unionByName(more.docs), index.postings.select("term", "doc_id", "tf").unionByName(more.postings), index.config)
 
 
 def lookup(index: Index, term: str) -> Column:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..config import BM25, Analyzer
 from ..functions.stem import stem
+from ..functions.stopwords import stop_table
 from ..functions.text import alpha_tokens
-from .index import Index, _stops, build_index
+from .index import Index, document_lengths, stemmed, stop_words, term_frequencies
 from .weights import SCHEMES, rsv, term_weight, weights, weights_by_scheme
 
 DIGITS = 6
@@ -27,7 +28,7 @@ def query_terms(query: str, config: Analyzer) -> list[str]:
 
     words = [w.lower() for w in re.findall("[A-Za-z]+", query)]
     if config.stop:
-        stops = set(_stops(config))
+        stops = set(stop_words(config))
         words = [w for w in words if w not in stops]
     return sorted({stem(w) if config.stem else w for w in words})
 
@@ -68,8 +69,22 @@ def ranked(index: Index, queries: DataFrame, scheme: str, k: int = 1500, p: BM25
 
 
 def batch(docs: DataFrame, queries: DataFrame, configs: list[Analyzer], schemes=SCHEMES, k: int = 1500) -> DataFrame:
-    """config, scheme, query_id, rank, doc_id, score: all rankings of a batch, one index and one pass for each configuration."""
-    runs = [ranked_by_scheme(build_index(docs, config), queries, schemes, k).select(F.lit(config.name).alias("config"), "*") for config in configs]
+    """config, scheme, query_id, rank, doc_id, score: all rankings of a batch.
+
+    Words are counted once for all configurations of a tokeniser and kept (in memory and on disk, until
+    the session's cache is cleared): stop words go by an anti join, stems come from the vocabulary.
+    """
+    base: dict[str, DataFrame] = {}
+    runs = []
+    for config in configs:
+        if config.tokenizer not in base:
+            base[config.tokenizer] = term_frequencies(docs, Analyzer(tokenizer=config.tokenizer)).persist()
+        postings = base[config.tokenizer]
+        if config.stop:
+            postings = postings.join(F.broadcast(stop_table(docs.sparkSession, stop_words(config))), "term", "left_anti")
+        postings = stemmed(postings) if config.stem else postings
+        index = Index(document_lengths(docs, config), postings, config)
+        runs.append(ranked_by_scheme(index, queries, schemes, k).select(F.lit(config.name).alias("config"), "*"))
     return reduce(DataFrame.unionByName, runs)
 
 
@@ -85,14 +100,30 @@ def weighting_experiment(index: Index, query: str, doc_id, scheme: str, k: int =
     return {"term": terms[1], "weight": weight, "rsv": score[0] if score else 0.0, "top": [(r.doc_id, r.score) for r in top], "seconds": time.perf_counter() - began}
 
 
-def jaccard_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, jaccard of every query with every document that shares a word with it.
+def jaccard_pairs(queries: DataFrame, docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """query_id, doc_id, jaccard of every query with every document that shares a word with it, or reaches ``least``.
 
-    An inverted-index join on words: only pairs with a common word are formed.
+    An inverted-index join on words: only pairs with a common word are formed. With a threshold, only
+    the rarest words are joined: of two sets that reach it, each has a common word among its first
+    n - ceil(least * n) + 1 in an order that both follow. So a word that all texts hold forms no pairs.
     """
-    q = queries.select("query_id", F.array_distinct(alpha_tokens(F.col("query"))).alias("words"))
-    d = docs.select("doc_id", F.array_distinct(alpha_tokens(F.col("text"))).alias("words"))
-    left = q.select("query_id", F.size("words").alias("nq"), F.explode("words").alias("word"))
-    right = d.select("doc_id", F.size("words").alias("nd"), F.explode("words").alias("word"))
-    both = left.join(right, "word").groupBy("query_id", "doc_id", "nq", "nd").agg(F.count("*").alias("k"))
-    return both.select("query_id", "doc_id", (F.col("k") / (F.col("nq") + F.col("nd") - F.col("k"))).alias("jaccard"))
+    q = queries.select("query_id", F.array_distinct(alpha_tokens(F.col("query"))).alias("q_words"))
+    d = docs.select("doc_id", F.array_distinct(alpha_tokens(F.col("text"))).alias("d_words"))
+    if least <= 0:
+        left = q.select("query_id", F.size("q_words").alias("nq"), F.explode("q_words").alias("word"))
+        right = d.select("doc_id", F.size("d_words").alias("nd"), F.explode("d_words").alias("word"))
+        both = left.join(right, "word").groupBy("query_id", "doc_id", "nq", "nd").agg(F.count("*").alias("k"))
+        return both.select("query_id", "doc_id", (F.col("k") / (F.col("nq") + F.col("nd") - F.col("k"))).alias("jaccard"))
+    often = d.select(F.explode("d_words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+
+    def first(rows: DataFrame, key: str, words: str) -> DataFrame:
+        listed = rows.select(key, F.explode(words).alias("word")).join(often, "word", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word")))
+        n = F.size("words")
+        short = listed.groupBy(key).agg(order.alias("words")).select(key, F.explode(F.slice("words", F.lit(1), n - F.ceil(n * (least - 1e-9)).cast("int") + 1)).alias("w"))
+        return short.select(key, F.col("w.word").alias("word"))
+
+    met = first(q, "query_id", "q_words").join(first(d, "doc_id", "d_words"), "word").select("query_id", "doc_id").distinct()
+    k = F.size(F.array_intersect("q_words", "d_words"))
+    pairs = met.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", (k / (F.size("q_words") + F.size("d_words") - k)).alias("jaccard"))
+    return pairs.where(F.col("jaccard") >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Analyzer
@@ -62,6 +62,14 @@ def experiment(files: dict[str, DataFrame], config: Analyzer, use_all_files: boo
     return results
 
 
+def synthesis(spark: SparkSession, results: dict[str, list[dict]]) -> DataFrame:
+    """config, file, avg_document_length, avg_term_length, vocabulary_size, time_seconds: the last file of each configuration that has results."""
+    last = [(config, rows[-1]) for config, rows in results.items() if rows]
+    names = ("avg_document_length", "avg_term_length", "vocabulary_size")
+    rows = [(config, r["file"], *(r["statistics"][n] for n in names), r["time_seconds"]) for config, r in last]
+    return spark.createDataFrame(rows, "config string, file string, avg_document_length double, avg_term_length double, vocabulary_size long, time_seconds double")
+
+
 def experiment_matrix(docs: DataFrame, file: str, configs: list[Analyzer]) -> DataFrame:
     """config, file, and the statistics: all files in one job for each configuration; file names a column of docs."""
     rows = None

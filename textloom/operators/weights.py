@@ -25,15 +25,16 @@ def bm25(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column, p: BM25 =
 
 
 def with_statistics(postings: DataFrame, index: Index) -> DataFrame:
-    """postings (all those of their terms) with df and the collection's scalars, a broadcast of one row."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return postings.join(df, "term").join(F.broadcast(index.scalars))
+    """postings (all those of their terms) with df, if they don't have it, and the collection's scalars."""
+    if "df" not in postings.columns:
+        postings = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
+    return index.with_scalars(postings)
 
 
 def document_norms(index: Index) -> DataFrame:
     """doc_id, norm: the length of each document's ltn vector over all its terms, 1 for a zero vector."""
-    n = index.scalars
-    weighted = index.postings.join(index.terms, "term").join(F.broadcast(n)).select("doc_id", ltn(F.col("tf"), F.col("df"), F.col("doc_count")).alias("w"))
+    rows = index.postings if "df" in index.postings.columns else index.postings.join(index.terms, "term")
+    weighted = index.with_scalars(rows).select("doc_id", ltn(F.col("tf"), F.col("df"), F.col("doc_count")).alias("w"))
     sums = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return index.docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0)).alias("norm"))
 
@@ -55,7 +56,7 @@ def weights_by_scheme(index: Index, schemes=SCHEMES, terms: list[str] | DataFram
     rows = with_statistics(_selected(index, terms), index)
     tf, df, n = F.col("tf"), F.col("df"), F.col("doc_count")
     plain = ltn(tf, df, n)
-    if "bm25" in schemes:
+    if "bm25" in schemes and "dl" not in rows.columns:
         rows = rows.join(index.docs, "doc_id")
     if "ltc" in schemes:
         rows = rows.join(document_norms(index) if norms is None else norms, "doc_id")

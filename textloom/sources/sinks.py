@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BM25, Analyzer
-from ..operators.index import Index
+from ..operators.index import Index, stop_words
 from ..operators.weights import document_norms
 
 
-def run_name(run_id: int, tag: str, scheme: str, config: Analyzer, granularity: str = "article", p: BM25 = BM25(), n_stop: int = 671) -> str:
-    """The name of a run file, which states the configuration."""
-    stop = f"stop{n_stop}" if config.stop else "nostop"
+def run_name(run_id: int, tag: str, scheme: str, config: Analyzer, granularity: str = "article", p: BM25 = BM25(), n_stop: int | None = None) -> str:
+    """The name of a run file, which states the configuration; the stop list by the number of its words, or by one that is given, such as the lines of its file."""
+    stop = f"stop{len(stop_words(config)) if n_stop is None else n_stop}" if config.stop else "nostop"
     stem = "porter" if config.stem else "nostem"
     extra = f"_k{p.k1}_b{p.b}" if scheme == "bm25" else ""
     return f"{tag}_{run_id}_test_{scheme}_{granularity}_{stop}_{stem}{extra}.txt"
