@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -384,11 +385,11 @@ def test_media(spark):
     got = {x.id: x for x in media.copies(spark.createDataFrame(rows, "id long, height int, width int, data binary")).collect()}
     wrong = [k for k, c in expected.items() if got[k].class_id != c]
     assert set(got) == set(expected) and len(wrong) <= 2, wrong
-    assert all(got[k].n_links == 0 for k in range(900, 905))
+    assert all(got[k].class_size == 1 for k in range(900, 905))
 
 
 def linked(one, two):
-    """Whether six corners agree on one movement, by all pairs of corners. one, two: images as arrays."""
+    """Whether enough corners agree on one movement, by all pairs of corners. one, two: images as arrays."""
     (p, x), (q, y) = (tuple(map(np.concatenate, list(zip(*media.features(m[None])))[1:])) for m in (one, two))
     i, j = np.nonzero(np.bitwise_count((x[:, None] ^ y[None]).view(np.uint64)).sum(-1, dtype=int) <= media.NEAR)
     read = lambda v: ((v >> 32) / 8, (v >> 8 & 0xFFFFFF) / 8, np.array(media.SCALES)[v >> 5 & 7], v & 31)
@@ -401,23 +402,24 @@ def linked(one, two):
         cells = zip(np.round(np.log2(zoom) * 2), np.floor(move[0] + a / 2), np.floor(move[1] + b / 2), (turn + k) % media.TURNS)
         for cell, corner in zip(cells, i):
             votes.setdefault((a, b, k, cell), set()).add(corner)
-    return max(map(len, votes.values()), default=0) >= media.AGREE
+    return max(map(len, votes.values()), default=0) >= max(media.AGREE, media.SHARE * min(len(x), len(y)))
 
 
 def classes(images):
-    """id: (class_id, n_links) by comparing all pairs."""
+    """id: (class_id, class_size), and the linked pairs, by comparing all pairs."""
     ids = sorted(images)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if linked(images[a], images[b])]
     root = {k: k for k in ids}
     for _ in ids:
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
-    return {k: (root[k], sum(k in e for e in links)) for k in ids}
+    size = Counter(root.values())
+    return {k: (root[k], size[root[k]]) for k in ids}, links
 
 
 def found_classes(spark, images):
     rows = [(k, m.shape[0], m.shape[1], m.tobytes()) for k, m in images.items()]
-    return {x.id: (x.class_id, x.n_links) for x in media.copies(spark.createDataFrame(rows, "id long, height int, width int, data binary")).collect()}
+    return {x.id: (x.class_id, x.class_size) for x in media.copies(spark.createDataFrame(rows, "id long, height int, width int, data binary")).collect()}
 
 
 def marked(r, marks, places):
@@ -436,13 +438,20 @@ def test_media_entry_of_several_groups(spark):
     for k in range(8):
         places = r.permutation(9)
         for j in range(1 if k in (0, 7) else 4):
-            images[k * 10 + j] = marked(r, marks, places)
-    expected = classes(images)
+            images[k * 10 + j] = np.clip(marked(r, marks, places).astype(int) + 2 * j, 0, 255).astype(np.uint8)
+    expected, _ = classes(images)
     assert found_classes(spark, images) == expected
-    assert len({c for c, _ in expected.values()}) == 8
+    assert len({c for c, _ in expected.values()}) >= 7  # two arrangements may agree in six marks
 
 
-def rescaled(image, factor):
+def resized(image, factor):
+    """With bilinear interpolation, or, if smaller, with means over the pixels that fall into one."""
+    if factor < 1:
+        image = np.kron(image.astype(float), np.ones((4, 4)))
+        for axis in (0, 1):
+            edges = np.linspace(0, image.shape[axis], int(image.shape[axis] / 4 * factor) + 1).round().astype(int)
+            image = np.stack([image.take(range(a, b), axis).mean(axis) for a, b in zip(edges, edges[1:])], axis)
+        return np.rint(image).astype(np.uint8)
     for axis in (0, 1):
         n = image.shape[axis]
         at = np.clip((np.arange(int(n * factor)) + 0.5) / factor - 0.5, 0, n - 1)
@@ -454,24 +463,63 @@ def rescaled(image, factor):
 
 def encoded(image, step):
     """Cosine transforms of 8 x 8 pixels, rounded to multiples of the step."""
+    n = len(image)
     k = np.arange(8)
     base = np.where(k == 0, 1, 2**0.5)[:, None] / 8**0.5 * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)
-    blocks = base @ image.reshape(12, 8, 12, 8).transpose(0, 2, 1, 3) @ base.T
-    return np.clip((base.T @ (np.round(blocks / step) * step) @ base).transpose(0, 2, 1, 3).reshape(96, 96), 0, 255).astype(np.uint8)
+    blocks = base @ image.reshape(n // 8, 8, n // 8, 8).transpose(0, 2, 1, 3) @ base.T
+    return np.clip((base.T @ (np.round(blocks / step) * step) @ base).transpose(0, 2, 1, 3).reshape(n, n), 0, 255).astype(np.uint8)
+
+
+def turned(image, degrees):
+    """Turned about its middle; what comes from outside is grey."""
+    n, a = len(image), np.deg2rad(degrees)
+    y, x = np.mgrid[:n, :n] - (n - 1) / 2
+    sy, sx = np.cos(a) * y - np.sin(a) * x + (n - 1) / 2, np.sin(a) * y + np.cos(a) * x + (n - 1) / 2
+    inside = (sy >= 0) & (sy <= n - 2) & (sx >= 0) & (sx <= n - 2)
+    sy, sx = np.clip(sy, 0, n - 2), np.clip(sx, 0, n - 2)
+    fy, fx = sy.astype(int), sx.astype(int)
+    p, q, m = sy - fy, sx - fx, image.astype(float)
+    v = m[fy, fx] * (1 - p) * (1 - q) + m[fy + 1, fx] * p * (1 - q) + m[fy, fx + 1] * (1 - p) * q + m[fy + 1, fx + 1] * p * q
+    return np.where(inside, v, 128).astype(np.uint8)
 
 
 def test_media_recall(spark):
-    """Rescaled and encoded copies against all pairs of corners."""
+    """Edited copies of pictures of 160 pixels: the share that comes into its original's class, and no others."""
     r = np.random.default_rng(12)
+    edits = {f"resized {f}": lambda m, f=f: resized(m, f) for f in (0.5, 0.6, 0.7, 0.8, 0.9, 1.1, 1.25, 1.5)}
+    edits |= {"crop": lambda m: m[24:, :-24], "blur": lambda m: np.rint(media._box(m[None].astype(np.float32), 1)[0]).astype(np.uint8), "encoded": lambda m: encoded(m, 40)}
+    edits |= {"noise": lambda m: np.clip(m + r.normal(0, 10, m.shape), 0, 255).astype(np.uint8), "quarter": np.rot90, "10 degrees": lambda m: turned(m, 10), "20 degrees": lambda m: turned(m, 20)}
     images = {}
-    for k in range(12):
-        image = media.picture(r.normal(size=64))
-        forms = [image, rescaled(image, 1.25), rescaled(image, 0.8), rescaled(image, 1.1), encoded(image, 24), encoded(image, 60)]
-        images |= {k * 10 + j: form for j, form in enumerate(forms)}
-    expected, found = classes(images), found_classes(spark, images)
-    n, m = (sum(x for _, x in c.values()) // 2 for c in (expected, found))
-    print(f"links: {m} of {n}")
-    assert all(found[k][1] <= expected[k][1] for k in images) and m >= 0.8 * n
+    for k in range(10):
+        image = media.picture(r.normal(size=64), side=160, cells=32)
+        images |= {k * 100: image} | {k * 100 + j: np.ascontiguousarray(edit(image)) for j, edit in enumerate(edits.values(), 1)}
+    found = found_classes(spark, images)
+    recall = {name: sum(found[k * 100 + j][0] == k * 100 for k in range(10)) / 10 for j, name in enumerate(edits, 1)}
+    print(recall)
+    assert all(c // 100 == k // 100 for k, (c, _) in found.items())
+    assert sum(recall.values()) / len(recall) >= 0.9
+
+
+def test_media_against_all_pairs(spark):
+    """Interleaved groups of edited copies: the pairs that brute force links and that share a class here."""
+    r = np.random.default_rng(13)
+    pictures = [media.picture(r.normal(size=64)) for _ in range(12)]
+    forms = [lambda m: m, lambda m: resized(m, 1.25), lambda m: resized(m, 0.8), lambda m: resized(m, 1.1), lambda m: encoded(m, 24), lambda m: encoded(m, 60)]
+    images = {j * 12 + k: form(m) for j, form in enumerate(forms) for k, m in enumerate(pictures)}
+    _, links = classes(images)
+    found = found_classes(spark, images)
+    together = sum(found[a][0] == found[b][0] for a, b in links)
+    print(f"links: {together} of {len(links)}")
+    assert together >= 0.9 * len(links) and all(c % 12 == k % 12 for k, (c, _) in found.items())
+
+
+def test_media_equal_images(spark):
+    """A crowd of equal images, one of them under repeated rows, is one class."""
+    r = np.random.default_rng(14)
+    image, other = (media.picture(r.normal(size=64)) for _ in range(2))
+    rows = [(k, 96, 96, image.tobytes(), "x") for k in range(300)] + [(300, 96, 96, other.tobytes(), "y")] * 200
+    got = {x.id: (x.class_id, x.class_size) for x in media.copies(spark.createDataFrame(rows, "id long, height int, width int, data binary, place string")).collect()}
+    assert got == dict.fromkeys(range(300), (0, 300)) | {300: (300, 1)}
 
 
 OPERATORS = {
