@@ -62,6 +62,10 @@ class Scratch:
             drop_table(self.spark, f"{self.root}/{name}")
             self.names.discard(name)
 
+    def collect(self) -> None:
+        """Lets the driver look for garbage, upon which Spark removes the shuffle files of finished phases."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df``, the job's result, and drop every other table of the job."""
         out = self.write(df, name)
