@@ -10,6 +10,7 @@ from brute import kept_by_rules, measures, mixed, near_components, pieces, repea
 from pyspark.sql import functions as F
 
 from textloom.llm import langid, lengths, licenses, media, mixing, neardup, packing, quality, sharding, suffix, tokens
+from textloom.llm import queries as corpus_queries
 from textloom.llm.components import components
 from textloom.llm.shared import Scratch
 from textloom.llm.words import Ranges, U, split_words
@@ -345,6 +346,44 @@ def test_licenses_as_published(spark):
     assert got == {1: "ISC", 2: "ISC", 3: "BSD-3-Clause", 4: "MIT", 5: None}
 
 
+def test_licenses_in_any_form(spark):
+    """Every text of the register, wrapped at eight widths, commented, with and without title and claim, in other spelling; and a further register."""
+    import textwrap
+
+    rows, expected = [], {}
+    for name, text in licenses.LICENSES:
+        for k, width in enumerate((40, 55, 65, 70, 72, 76, 79, 100)):
+            body = "\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+            form = [body, f"Copyright (c) 2019-2021 Some One\nAll rights reserved.\n\n{body}", "\n".join(f" * {x}" for x in f"Copyright 2020 X\n{body}".split("\n")), body.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "\r\n".join(body.upper().split("\n")), f"(c) 2001 Y\n{body.replace('icense', 'icence')}", "\n".join(f"// {x}" for x in body.split("\n")), f"{body}\n\n"][k]
+            rows.append((len(rows), form))
+            expected[len(rows) - 1] = name
+    mit = dict(licenses.LICENSES)["MIT"].removeprefix("MIT License ")
+    for form in (mit, f"The MIT License (MIT)\n\nCopyright © 2020 X\n\n{mit}", f"MIT License\n{mit}"):
+        rows.append((len(rows), form))
+        expected[len(rows) - 1] = "MIT"
+    clause = "(c) You must retain all notices."
+    rows += [(900, f"{mit} And more."), (901, mit.replace("free of charge", "for a fee")), (902, f"{clause}\n{mit}"), (903, "Own words.\n(b) Do as you like."), (904, "copyright notice, this list")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert {k: v for k, v in got.items() if k < 900} == expected and not any(got[k] for k in range(900, 905))
+    more = spark.createDataFrame([("Own-1.0", "Own words. (a) Do as you like."), ("Own-2.0", "own words; do as you LIKE"), (None, "x"), ("y", None)], "license string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs, more).collect()} == {**got, 903: "Own-1.0"}
+
+
+def test_language_scores(spark):
+    """Scores are spread: texts between two languages score lower than plain ones, and the flag tells them."""
+    r = np.random.default_rng(8)
+    vocab = {lang: vocabulary(k, 300) for k, lang in enumerate(["aa", "bb", "cc"])}
+    text = lambda lang, n: " ".join(r.choice(vocab[lang], n))
+    model = langid.fit(spark.createDataFrame([(text(x, 40), x) for x in vocab for _ in range(60)], "text string, lang string"))
+    plain = [(k, text(x, 30)) for k, x in enumerate(list(vocab) * 10)]
+    mixed_ = [(100 + k, f"{text('aa', 15)} {text('bb', 15)}") for k in range(30)]
+    got = {x.doc_id: x for x in langid.predict(spark.createDataFrame(plain + mixed_, "doc_id long, text string"), model).collect()}
+    low, high = np.mean([got[100 + k].score for k in range(30)]), np.mean([got[k].score for k in range(30)])
+    assert high > 0.9 and low < high - 0.1 and high < 0.99999
+    assert np.mean([got[100 + k].ambiguous for k in range(30)]) > np.mean([got[k].ambiguous for k in range(30)])
+
+
 def test_language_id(spark):
     r = np.random.default_rng(3)
     vocab = {lang: vocabulary(k, 300) for k, lang in enumerate(["aa", "bb", "cc", "dd", "ee", "ff"])}
@@ -566,3 +605,60 @@ def test_clashing_columns(docs, clashing, name):
 
 def test_media_empty(spark):
     assert media.copies(spark.createDataFrame([], "id long, height int, width int, data binary")).collect() == []
+
+
+def _tables(spark, folder, docs):
+    docs.withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{folder}/documents.parquet")
+    rows = [(k, [float((k * 7 + j) % 11) for j in range(16)], k) for k in range(docs.count() and 25)] + ([(None, None, None)] if docs.count() else [])
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", list(corpus_queries.queries()))
+def test_registered_queries(spark, docs, odd, tmp_path, name):
+    """Each registered query over a small, an odd and an empty table."""
+    query = corpus_queries.queries()[name]
+    n = {}
+    for kind, table in (("small", docs), ("odd", odd), ("empty", docs.limit(0))):
+        rows = query(spark, _tables(spark, tmp_path / kind, table)).collect()
+        n[kind] = len(rows)
+        if name.split("_")[0] in ("op2", "op3", "op6", "op8", "op10"):
+            assert len(rows) == table.count()
+            assert sorted((r.doc_id for r in rows), key=repr) == sorted((r.doc_id for r in table.select("doc_id").collect()), key=repr)
+    assert n["empty"] == 0 and n["small"] > 0
+
+
+def test_op6_learns_from_the_rest_only(spark, corpus, tmp_path):
+    """held_out is the rule of the contract, and labels or sources of held-out rows change nothing."""
+    r = random.Random(3)
+    vocab = {lang: vocabulary(40 + k, 200) for k, lang in enumerate(["aa", "bb", "cc"])}
+    rows = [(k, " ".join(r.choices(vocab[x], k=25)), x, "s") for k, x in enumerate(["aa", "bb", "cc"] * 60)] + [(None, "a b", "aa", "s"), (500, None, "aa", "s")]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    other = [(d, t, "zz" if held(d) else x, "t") for d, t, x, _ in rows]
+    got = []
+    for k, some in enumerate((rows, other)):
+        spark.createDataFrame(some, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got.append(sorted(map(tuple, langid.op6_language_id(spark, f"{tmp_path}/{k}").collect()), key=repr))
+    assert got[0] == got[1]
+    by = {x[0]: x for x in got[0]}
+    assert all(by[d][1] == held(d) for d, *_ in rows) and sum(held(d) for d, *_ in rows) > 20
+    right = [by[d][2] == x for d, t, x, _ in rows if held(d) and t]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_long_texts(spark, tokenizer):
+    """Texts beyond one chunk, among short ones."""
+    r = random.Random(6)
+    vocab = vocabulary(9)
+    long = [" ".join(r.choices(vocab, k=n)) for n in (150_000, 130_000)]
+    passage = " ".join(long[0].split()[70_000:70_100])
+    texts = ["a b c", long[0], f"{passage} x", long[1], long[0] + " end", "", None]
+    assert len(long[0]) > 1 << 19
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.n_words for x in quality.ledger(docs).collect()} == {k: len(words(t)) for k, t in enumerate(texts)}
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(docs, 2).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6}
+    spans = {(x.doc_id, x.kind, x.start_word, x.end_word) for x in suffix.document_spans(docs).collect()}
+    assert spans == {(1, "repeat", 0, 150_000), (4, "repeat", 0, 150_000), (4, "cut", 0, 150_000), (2, "repeat", 0, 100), (2, "cut", 0, 100)}
+    rows = packing.pieces(docs, tokens.default_tokenizer()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {x.doc_id: x.n for x in rows} == {k: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+    assert {x.doc_id: x.size for x in sharding.shard_documents(docs, [1.0, 1.0]).collect()} == {k: len((t or "").encode()) + 8 for k, t in enumerate(texts)}

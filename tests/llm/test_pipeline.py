@@ -34,3 +34,12 @@ def test_run_equals_brute_force(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == expected
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_and_empty_tables(spark, odd, docs, clashing, tmp_path):
+    """The stages run on an odd table (too short for the quality rules), an empty one, and one with clashing names."""
+    for name, table in (("odd", odd), ("empty", docs.limit(0)), ("plain", docs), ("clashing", clashing)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").collect() == [] == corpus_pipeline.run(spark, f"{tmp_path}/empty").collect()
+    plain, more = (sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()) for name in ("plain", "clashing"))
+    assert plain == more and plain
