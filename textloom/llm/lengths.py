@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, bound_batches
-from .tokens import default_tokenizer, encoder
+from .tokens import CHUNK, default_tokenizer, encoder
 from .words import text_chunks
 
 BLOCK = 256
@@ -35,7 +35,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:
-            sizes = [tool.counts(buf, offsets) for _, _, buf, offsets in text_chunks(batch.column(0))]
+            sizes = [tool.counts(buf, offsets) for _, _, buf, offsets in text_chunks(batch.column(0), CHUNK)]
             if sizes:
                 length, n = np.unique(np.concatenate(sizes), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(n, pa.int64())], ["length", "n_docs"])

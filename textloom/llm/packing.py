@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
-from .tokens import default_tokenizer, encoder
+from .tokens import CHUNK, default_tokenizer, encoder
 from .words import text_chunks
 
 LENGTH = 2048
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
-            for lo, hi, buf, offsets in text_chunks(batch.column(1)):
+            for lo, hi, buf, offsets in text_chunks(batch.column(1), CHUNK):
                 ids, first = tool.ids(buf, offsets)
                 ids = ids.astype("<u4", copy=False)
                 sizes = np.diff(first) + 1
@@ -127,7 +127,7 @@ def turn_tokens(turns: DataFrame, tokenizer: str, role: str = "assistant") -> Da
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:
-            sizes = [tool.counts(buf, offsets) for _, _, buf, offsets in text_chunks(batch.column(3))]
+            sizes = [tool.counts(buf, offsets) for _, _, buf, offsets in text_chunks(batch.column(3), CHUNK)]
             tokens = (np.concatenate(sizes) if sizes else np.zeros(0, np.int64)) + 1
             own = np.array(batch.column(2).fill_null(False).to_pylist(), bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(np.where(own, tokens, 0))], ["conv_id", "turn", "tokens", "loss_tokens"])

@@ -64,6 +64,10 @@ def split_units(buf: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(buf, offsets, start, end, doc, np.searchsorted(doc, np.arange(len(offsets))))
 
 
+#: Bytes of text that are encoded at a time: the more, the fewer times a unit is looked up.
+CHUNK = 1 << 21
+
+
 class Encoder:
     KEEP, KEEP_BYTES = 1_000_000, 1 << 26
 
@@ -111,8 +115,11 @@ class Encoder:
         units = distinct.to_pylist()
         if len(self.number) > self.KEEP or self.bytes > self.KEEP_BYTES:
             self._forget()
-        self._learn([u for u in units if u not in self.number])
-        number = np.fromiter((self.number[u] for u in units), np.int64, len(units))
+        found = list(map(self.number.get, units))
+        if None in found:
+            self._learn([u for u, k in zip(units, found, strict=True) if k is None])
+            found = list(map(self.number.get, units))
+        number = np.array(found, np.int64)
         return words, self.begin[number][place], (self.begin[number + 1] - self.begin[number])[place]
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
