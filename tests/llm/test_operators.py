@@ -276,6 +276,20 @@ def test_encoder(tokenizer, monkeypatch):
         assert tool.counts(buf, offsets).tolist() == list(map(len, expected))
 
 
+def test_units_of_many_chunks_stay_in_a_full_table(monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "KEEP", 40)
+    tool = tokens.Encoder(packing.default_tokenizer())
+    learned = []
+    batch = tool._batch
+    monkeypatch.setattr(tool, "_batch", lambda texts: learned.extend(texts) or batch(texts))
+    for k in range(30):
+        text = f"often seen {' '.join(f'w{k}x{j}' for j in range(5))}"
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert tool.ids(raw, np.array([0, len(raw)], np.int64))[0].tolist() == tool._plain(text)
+    assert len(tool.number) < 80
+    assert learned.count("often") == 1 and learned.count("seen") == 1
+
+
 def test_token_counts(docs, corpus, tokenizer, spark):
     sizes = sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in corpus)
     sums = lengths.suffix_sums(lengths.histogram(docs, tokens.default_tokenizer())).cache()

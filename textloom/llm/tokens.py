@@ -3,8 +3,8 @@
 For a tokenizer that drops white space, folds case and separates letters, digits and signs, the ids
 of a text are the ids of its units, one after another. A unit is a run of Latin letters, of digits
 or of ASCII signs inside a word; a word with an apostrophe or with any other character is one unit.
-Units repeat, so each worker encodes a unit once and keeps its ids, by the unit's bytes, in a table
-of bounded size; texts are then assembled from that table with array operations. ``Encoder`` checks
+Units repeat, so each worker keeps a unit's ids, by the unit's bytes, in a table of bounded size, from
+which rare units go when it is full; texts are assembled from that table with array operations. ``Encoder`` checks
 the property on a probe text, which has every letter of that range beside letters, digits and signs,
 when it opens a file, and otherwise encodes whole texts. Strings of special tokens inside a text are
 ordinary text, as the tokenizers' own notes have it (``encode_special_tokens``).
@@ -65,11 +65,11 @@ def split_units(buf: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 #: Bytes of text that are encoded at a time: the more, the fewer times a unit is looked up.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 class Encoder:
-    KEEP, KEEP_BYTES = 1_000_000, 1 << 26
+    KEEP, KEEP_BYTES = 250_000, 1 << 24
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,17 +89,28 @@ class Encoder:
         """An empty table: number of each unit, and where in the pool the ids of each number begin, with one more for the end."""
         self.number: dict[bytes, int] = {}
         self.begin, self.bytes = np.zeros(1 << 12, np.int64), 0
+        self.hits = np.zeros(1 << 12, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
 
+    def _thin(self) -> None:
+        """Leaves those units that several chunks had since the last time: the most frequent ones, up to half of the table's bounds."""
+        units, hits = list(self.number), self.hits[: len(self.number)]
+        keep = np.flatnonzero(hits > 1)
+        keep = keep[np.argsort(-hits[keep], kind="stable")[: self.KEEP // 2]]
+        keep = np.sort(keep[np.cumsum([len(units[k]) for k in keep.tolist()]) <= self.KEEP_BYTES // 2])
+        size = self.begin[keep + 1] - self.begin[keep]
+        ids = self.pool[np.repeat(self.begin[keep] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        self._forget()
+        self._add([units[k] for k in keep.tolist()], size, ids)
+
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for i in ids for x in i), np.uint32)
 
-    def _learn(self, units: list[bytes]) -> None:
-        sizes, ids = self._batch([u.decode("utf-8", "replace") for u in units])
+    def _add(self, units: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.number)
         while n + len(units) >= len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.begin, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.hits))
         self.begin[n + 1 : n + 1 + len(units)] = self.begin[n] + np.cumsum(sizes)
         end = int(self.begin[n + len(units)])
         while end > len(self.pool):
@@ -114,12 +125,14 @@ class Encoder:
         place, distinct = words.numbers()
         units = distinct.to_pylist()
         if len(self.number) > self.KEEP or self.bytes > self.KEEP_BYTES:
-            self._forget()
+            self._thin()
         found = list(map(self.number.get, units))
         if None in found:
-            self._learn([u for u, k in zip(units, found, strict=True) if k is None])
+            new = [u for u, k in zip(units, found, strict=True) if k is None]
+            self._add(new, *self._batch([u.decode("utf-8", "replace") for u in new]))
             found = list(map(self.number.get, units))
         number = np.array(found, np.int64)
+        self.hits[number] += 1
         return words, self.begin[number][place], (self.begin[number + 1] - self.begin[number])[place]
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
