@@ -325,3 +325,25 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("streamed").collect())) == [("a", 1, 2), ("b", 1, 1)]
     with pytest.raises(ValueError):
         stream_postings(stream, STEM)
+
+
+def test_batch_equals_single_rankings_with_rare_terms_apart(spark):
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("walk", "running", "relat", "the", "being", "hop") for b in ("", "s", "ed", "ing", "ational")]
+    rows = [(k, " ".join(r.choices(words, k=r.randint(0, 9)))) for k in range(60)] + [(60, None), (61, "been unseen")]
+    docs, queries = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), collection.query_set(spark, {1: "walking relational", 2: "the hopped being", 3: "absent"})
+    got = rank._shared_batch(docs, queries, [BASE, STOP_STEM], rank.SCHEMES, 20, often=7).collect()
+    for config in (BASE, STOP_STEM):
+        one = rank.ranked_by_scheme(index.build_index(docs, config), queries, k=20).collect()
+        assert sorted(r[1:] for r in got if r[0] == config.name) == sorted(map(tuple, one)) != []
+
+
+def test_batch_does_not_move_postings(spark):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(r.sample(words, 1500))) for k in range(300)], "doc_id long, text string").repartition(4).persist()
+    size = docs.agg(F.sum(F.length("text"))).first()[0]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert rank.batch(docs, collection.query_set(spark, {1: f"{words[0]} {words[1]}"}), [BASE, STOP, STEM, STOP_STEM], k=10).count() == 120
+    assert written() - before < size / 2
